@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import cooccurrence, encoding, mixing, spans, splitting, terms
+from codelens.llm import cooccurrence, encoding, mixing, origins, spans, splitting, syntax, terms
 from codelens.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.check(table(spark, d, "source_files")).where("rejected").select("file_id")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(syntax.check(table(spark, d, "source_files")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.shared_rare(terms.scores(table(spark, d, "symbols")))
 
@@ -18,6 +26,14 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return origins.classify(table(spark, d, "source_files")).select("file_id")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return origins.classify(table(spark, d, "source_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.Spans(table(spark, d, "source_files")).pairs().select(F.col("a").alias("file_a"), F.col("b").alias("file_b"))
 
