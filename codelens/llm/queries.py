@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import cooccurrence, encoding, mixing, origins, spans, splitting, syntax, terms
+from codelens.llm import cooccurrence, encoding, mixing, names, origins, spans, splitting, syntax, terms
 from codelens.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.contributors(table(spark, d, "author_identities")))
+
+
+def p1_contributors(spark: SparkSession, d: str) -> DataFrame:
+    return names.contributors(table(spark, d, "author_identities"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.check(table(spark, d, "source_files")).where("rejected").select("file_id")
 
