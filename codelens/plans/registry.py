@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["incremental", "history", "quality"]
+MODULES = ["incremental", "history", "quality", "text"]
 
 
 def _merged(name: str) -> dict:
