@@ -29,6 +29,11 @@ def mid_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(h, value)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row: inside lambdas a column is computed for each element otherwise."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -131,8 +131,8 @@ def words(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """TXT-18: lower-cased words and adjacent pairs of them."""
-    w = words(text)
-    return F.concat(w, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    return stats.let(words(text), lambda w: F.concat(w, pairs(w)))
 
 
 def index(df: DataFrame, key: str, text: str, vocabulary: int = 10_000) -> tuple[DataFrame, DataFrame]:
@@ -192,15 +192,18 @@ def chunks(df: DataFrame, key: str, text: str, most: int = 500) -> DataFrame:
     indent = lambda x: F.length(x) - F.length(F.ltrim(F.translate(x, "\t", " ")))
     start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("nos"))
 
-    def step(a, x):
-        cut = (a["size"] >= most) & (indent(x) <= indent(F.col("l")[0]))
-        no = F.when(cut, a["no"] + 1).otherwise(a["no"])
-        return F.struct((F.when(cut, 0).otherwise(a["size"]) + F.octet_length(x) + 1).alias("size"), no.alias("no"), F.concat(a["nos"], F.array(no)).alias("nos"))
+    def step(first):
+        def add(a, x):
+            cut = (a["size"] >= most) & (indent(x) <= first)
+            no = F.when(cut, a["no"] + 1).otherwise(a["no"])
+            return F.struct((F.when(cut, 0).otherwise(a["size"]) + F.octet_length(x) + 1).alias("size"), no.alias("no"), F.concat(a["nos"], F.array(no)).alias("nos"))
 
-    d = d.withColumn("nos", F.aggregate("l", start, step, lambda a: a["nos"]))
-    last = F.col("nos")[F.size("nos") - 1]
-    part = lambda i: F.array_join(F.transform(F.filter(F.arrays_zip("l", "nos"), lambda z: z["nos"] == i), lambda z: z["l"]), "\n")
-    return d.select(key, (last + 1).alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), last), part)).alias("chunk", "body"))
+        return add
+
+    numbered = stats.let(F.col("l"), lambda l: F.struct(l.alias("l"), F.aggregate(l, start, step(indent(l[0])), lambda a: a["nos"]).alias("nos")))
+    part = lambda z: lambda i: F.array_join(F.transform(F.filter(F.arrays_zip(z["l"].alias("l"), z["nos"].alias("nos")), lambda y: y["nos"] == i), lambda y: y["l"]), "\n")
+    parts = stats.let(numbered, lambda z: F.transform(F.sequence(F.lit(0), z["nos"][F.size(z["nos"]) - 1]), part(z)))
+    return d.select(key, F.posexplode(parts).alias("chunk", "body"))
 
 
 def snake_case(x: Column) -> Column:

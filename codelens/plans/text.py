@@ -61,7 +61,7 @@ def txt_19_enriched(s, d):
 
 
 def txt_20_chunks(s, d):
-    return x.chunks(_symbols(s, d), "id", "enriched_text", 200).select("id", "n", "chunk", F.md5("body").alias("body"))
+    return x.chunks(_symbols(s, d), "id", "enriched_text", 200).select("id", "chunk", F.md5("body").alias("body"))
 
 
 def txt_21_lexical(s, d):
