@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelens.functions.filters import may_match
 from codelens.sources.checkpoints import cut
 
 CHUNK = 1 << 19
@@ -171,11 +172,12 @@ class Spans:
     def windows(self) -> DataFrame:
         """(h, c1, c2, start): the windows of the whole length that occur in at least two contents."""
         length, first = self.length, self.anchors()
-        kept = first.join(recurring(first, "h"), "h", "left_semi")
+        again = recurring(first, "h")
+        kept = cut(may_match(first, F.col("h"), again, F.col("h")).join(again, "h", "left_semi"))
         sides = kept.select("c1", "c2", "p", F.explode(F.array("l", "r")).alias("h2")).where("h2 <> 0")
         sides = sides.join(recurring(sides, "h2"), "h2", "left_semi").groupBy("c1", "c2").agg(F.collect_set("p").alias("at"))
         one = self.members.groupBy("c1", "c2").agg(F.min("k").alias("k"))
-        todo = sides.join(one, ["c1", "c2"]).select("k", "at")
+        todo = cut(sides.join(one, ["c1", "c2"]).select("k", "at"))
 
         def run(it):
             for b in it:
@@ -183,9 +185,10 @@ class Spans:
                 out = pd.DataFrame({"h": h, "c1": b["c1"].to_numpy()[row], "c2": b["c2"].to_numpy()[row], "start": start.astype(np.int32)})
                 yield out.drop_duplicates(["h", "c1", "c2", "start"])
 
-        again = self.rows.join(todo, "k").select("c1", "c2", "content", "at").mapInPandas(run, "h bigint, c1 bigint, c2 bigint, start int").distinct()
-        again = cut(again)
-        return again.join(recurring(again, "h"), "h", "left_semi")
+        few = may_match(self.rows, F.col("k"), todo, F.col("k"))
+        found = cut(few.join(todo, "k").select("c1", "c2", "content", "at").mapInPandas(run, "h bigint, c1 bigint, c2 bigint, start int"))
+        shared = recurring(found, "h")
+        return may_match(found, F.col("h"), shared, F.col("h")).join(shared, "h", "left_semi")
 
     def class_pairs(self, windows: DataFrame) -> DataFrame:
         """(a1, a2, b1, b2): pairs of different contents with a common span.
