@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelens.functions.filters import may_match
+
 #: Hash slots by which a basket's distinct items are bounded from below before any basket is gathered.
 SLOT_WORDS = 4
 
@@ -25,19 +27,19 @@ def pair_counts(
     An oversized basket is recognised by a bitmap of item hashes, combined on the map side, so it is never gathered.
     """
     rows = df.select(F.col(basket).alias("b"), F.col(item).alias("i")).where(F.col("b").isNotNull() & F.col("i").isNotNull())
-    slot = F.pmod(F.xxhash64("i"), F.lit(64 * SLOT_WORDS))
     # of 64 * SLOT_WORDS slots more than most_items are taken: surely too many items, whatever their number
     if most_items < 64 * SLOT_WORDS:
-        bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(i), 64) as int))")
+        busy = rows.groupBy(F.xxhash64("b").alias("hb")).agg(F.count("*").alias("k")).where(F.col("k") > most_items).select("hb")
+        slot, bit = F.pmod(F.xxhash64("i"), F.lit(64 * SLOT_WORDS)), F.expr("shiftleft(1L, cast(pmod(xxhash64(i), 64) as int))")
         bits = [F.bit_or(F.when(F.floor(slot / 64) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(SLOT_WORDS)]
         taken = sum((F.bit_count(f"w{w}") for w in range(SLOT_WORDS)), F.lit(0))
-        huge = rows.groupBy("b").agg(F.count("*").alias("k"), *bits).where((F.col("k") > most_items) & (taken > most_items)).select("b")
+        huge = may_match(rows, F.xxhash64("b"), busy, F.col("hb")).groupBy("b").agg(*bits).where(taken > most_items).select("b")
         rows = rows.join(huge, "b", "left_anti")
     if known is not None:
         rows = rows.join(known.select(F.col(basket).alias("b")).distinct(), "b", "left_semi")
     baskets = rows.groupBy("b").agg(F.collect_set("i").alias("items")).where(F.size("items") <= most_items)
-    n = baskets.agg(F.count("*").alias("n")).first()["n"]
-    single = baskets.select("b", F.explode("items").alias("i"))
+    n = baskets.agg(F.count("*")).scalar()
+    single = baskets.select(F.unhex(F.md5(F.col("b").cast("string"))).alias("b"), F.explode("items").alias("i"))
     marginal = single.groupBy("i").agg(F.count("*").alias("k")).where(F.col("k") >= least_pairs)
     kept = single.join(marginal, "i").groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("items")).where(F.size("items") > 1)
     pairs = F.expr(
@@ -45,6 +47,7 @@ def pair_counts(
         f"least(x.k, y.k) >= {least_ratio!r}D * greatest(x.k, y.k)), y -> struct(x.i as item_a, y.i as item_b, x.k as n_a, y.k as n_b))))"
     )
     counts = kept.select(F.explode(pairs).alias("p")).groupBy("p.item_a", "p.item_b", "p.n_a", "p.n_b").agg(F.count("*").alias("n_ab"))
-    lift = F.col("n_ab") * F.lit(float(n)) / (F.col("n_a") * F.col("n_b"))
+    counts = counts.withColumn("n", n)
+    lift = F.col("n_ab") * F.col("n").cast("double") / (F.col("n_a") * F.col("n_b"))
     out = counts.where((F.col("n_ab") >= least_pairs) & (F.col("n_ab") / F.greatest("n_a", "n_b") >= least_ratio))
-    return out.select("item_a", "item_b", "n_a", "n_b", "n_ab", F.lit(n).cast("bigint").alias("n"), lift.alias("lift"), F.log2(lift).alias("pmi"))
+    return out.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))
