@@ -30,27 +30,40 @@ def strength(text: str, at: int) -> int:
     return 1 if tail[-1:].isspace() else 0
 
 
-def atoms_of(enc: Encoder, text: str, limit: int) -> list[str]:
-    out, most = [], max(1, min(ATOM, limit // 8))
-    for p in enc.split(text):
-        if len(p) <= most:
-            out.append(p)
-        else:
-            out.extend(p[i : i + most] for i in range(0, len(p), most))
-    return out
+def atoms_of(enc: Encoder, text: str, limit: int) -> tuple[list[str], list[int]] | None:
+    """The text in pieces of the tokenizer's pattern, long ones cut, and their tokens; None if it is within the limit."""
+    pieces = enc.split(text)
+    counts = list(map(enc.counts.__getitem__, pieces))
+    if sum(counts) <= limit:
+        return None
+    most = max(1, min(ATOM, limit // 8))
+    if max(map(len, pieces)) > most:
+        pieces = [p[i : i + most] for p in pieces for i in range(0, len(p), most)]
+        counts = list(map(enc.counts.__getitem__, pieces))
+    return pieces, counts
+
+
+class _Strength(dict):
+    """The strength of the cut before each atom, looked at when needed."""
+
+    def __init__(self, text: str, chars: list[int]):
+        super().__init__()
+        self.text, self.chars = text, chars
+
+    def __missing__(self, j: int) -> int:
+        s = self[j] = strength(self.text, self.chars[j])
+        return s
 
 
 def cut(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(start, end, characters repeated from the piece before, tokens) of each piece; nothing if the text is within the limit."""
-    n = enc.count(text)
-    if n <= limit:
+    found = atoms_of(enc, text, limit)
+    if found is None:
         return []
-    atoms = atoms_of(enc, text, limit)
-    chars = [0, *accumulate(map(len, atoms))]
-    tokens = [0, *accumulate(map(enc.count, atoms))]
-    power = [0, *(strength(text, c) for c in chars[1:-1]), 5]
-    m, total = len(atoms), tokens[-1]
-    k = max(2, -(-(max(n, total) - overlap) // (limit - overlap)))
+    chars, tokens = [0, *accumulate(map(len, found[0]))], [0, *accumulate(found[1])]
+    m, total = len(found[0]), tokens[-1]
+    power = _Strength(text, chars)
+    k = max(2, -(-(total - overlap) // (limit - overlap)))
     while True:
         full = (total + (k - 1) * overlap) / k
         reach = max(8, min(limit // 8, int(full / 4)))
