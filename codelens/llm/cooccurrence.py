@@ -39,15 +39,18 @@ def pair_counts(
         rows = rows.join(known.select(F.col(basket).alias("b")).distinct(), "b", "left_semi")
     baskets = rows.groupBy("b").agg(F.collect_set("i").alias("items")).where(F.size("items") <= most_items)
     n = baskets.agg(F.count("*")).scalar()
-    single = baskets.select(F.unhex(F.md5(F.col("b").cast("string"))).alias("b"), F.explode("items").alias("i"))
+    short = lambda c: F.unhex(F.md5(F.col(c).cast("string")))  # noqa: E731  16 bytes stand for a basket or an item between shuffles
+    single = baskets.select(short("b").alias("b"), F.explode("items").alias("i"))
     marginal = single.groupBy("i").agg(F.count("*").alias("k")).where(F.col("k") >= least_pairs)
-    kept = single.join(marginal, "i").groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("items")).where(F.size("items") > 1)
+    kept = single.join(marginal, "i").groupBy("b").agg(F.array_sort(F.collect_list(F.struct(short("i").alias("i"), F.col("k")))).alias("items")).where(F.size("items") > 1)
     pairs = F.expr(
         "flatten(transform(items, (x, p) -> transform(filter(slice(items, p + 2, size(items)), y -> "
-        f"least(x.k, y.k) >= {least_ratio!r}D * greatest(x.k, y.k)), y -> struct(x.i as item_a, y.i as item_b, x.k as n_a, y.k as n_b))))"
+        f"least(x.k, y.k) >= {least_ratio!r}D * greatest(x.k, y.k)), y -> struct(x.i as i, y.i as j, x.k as k, y.k as l))))"
     )
-    counts = kept.select(F.explode(pairs).alias("p")).groupBy("p.item_a", "p.item_b", "p.n_a", "p.n_b").agg(F.count("*").alias("n_ab"))
-    counts = counts.withColumn("n", n)
+    counts = kept.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j", "p.k", "p.l").agg(F.count("*").alias("n_ab"))
+    counts = counts.where((F.col("n_ab") >= least_pairs) & (F.col("n_ab") / F.greatest("k", "l") >= least_ratio))
+    names = marginal.select(short("i").alias("h"), F.col("i").alias("name"))
+    counts = counts.join(names.toDF("i", "x"), "i").join(names.toDF("j", "y"), "j")
+    counts = counts.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), *[F.when(F.col("x") < F.col("y"), u).otherwise(v).alias(n) for u, v, n in ((F.col("k"), F.col("l"), "n_a"), (F.col("l"), F.col("k"), "n_b"))], "n_ab").withColumn("n", n)
     lift = F.col("n_ab") * F.col("n").cast("double") / (F.col("n_a") * F.col("n_b"))
-    out = counts.where((F.col("n_ab") >= least_pairs) & (F.col("n_ab") / F.greatest("n_a", "n_b") >= least_ratio))
-    return out.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))
+    return counts.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))
