@@ -30,5 +30,82 @@ select n.unit, n.file_path, n.symbol_name, n.chunk_index from n left join o on o
 where n.k = 1 and (o.h is null or o.h <> n.h)
 """
 
-QUERIES = {"p6_found": p6_found}
-SQL = {"p6_found": _P6}
+
+def inc_1_index_diff(spark: SparkSession, d: str) -> DataFrame:
+    """INC-1: files that are new, changed, deleted or kept since the index of the last successful run."""
+    since = op.last_success(table(spark, d, "sync_runs"))
+    f = table(spark, d, "source_files").select("path").distinct().withColumn("there", F.lit(True))
+    r = table(spark, d, "parsed_files").where("file_hash is not null")
+    order = F.struct("parsed_at", "run_id", "file_hash")
+    h = r.groupBy(F.col("rel_path").alias("path")).agg(F.max(order).alias("now"), F.max(F.when(F.col("run_id") <= since, order)).alias("was"))
+    was, now = F.col("was.file_hash"), F.col("now.file_hash")
+    state = F.when(was.isNull(), "new").when(F.col("there").isNull(), "deleted").when(was != now, "changed").otherwise("kept")
+    return f.join(h, "path", "full_outer").select("path", state.alias("state"))
+
+
+def inc_2_upserted_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """INC-2 and SRC-19: the symbol cache after all runs: of each (file, symbol, chunk) the last row, without files that are gone."""
+    y = table(spark, d, "symbols").where("content_hash is not null")
+    last = y.groupBy("file_path", "symbol_name", "chunk_index").agg(F.max_by("id", F.struct("created_at", "run_id", "id")).alias("id"))
+    files = table(spark, d, "source_files").select(F.col("path").alias("file_path")).distinct()
+    return last.join(files, "file_path", "left_semi")
+
+
+def set_3_removed_files(spark: SparkSession, d: str) -> DataFrame:
+    """SET-3: touched paths that no indexed file has."""
+    return table(spark, d, "file_changes").select("path").where("path is not null").distinct().join(table(spark, d, "parsed_files").select(F.col("rel_path").alias("path")), "path", "left_anti")
+
+
+def src_8_commit_log(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-8, SRC-14: distinct commits since a time, the latest first, cut to a number."""
+    c = table(spark, d, "commits").groupBy("sha").agg(F.min("ts").alias("ts"), F.max_by("author", F.struct("ingested_at", "author")).alias("author"))
+    return c.where("ts >= timestamp'2020-03-01 00:00:00'").orderBy(F.desc("ts"), "sha").limit(300)
+
+
+def snk_1_sarif(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-1: findings as rows of a SARIF log: complex symbols."""
+    y = table(spark, d, "symbols").where("cyclomatic_complexity >= 4").select("id", "file_path", "start_line", "symbol_name", "cyclomatic_complexity").distinct()
+    level = F.when(F.col("cyclomatic_complexity") >= 8, "error").when(F.col("cyclomatic_complexity") >= 6, "warning").otherwise("note")
+    text = F.concat(F.col("symbol_name"), F.lit(" has cyclomatic complexity "), F.col("cyclomatic_complexity").cast("int"))
+    return y.select("id", F.lit("complexity").alias("rule_id"), level.alias("level"), F.col("file_path").alias("uri"), F.col("start_line").alias("line"), text.alias("message"))
+
+
+def _log(spark: SparkSession) -> DataFrame:
+    from codelens.sources.paths import parse_log
+
+    text = "a1b2c3d4|Ann|ann@x.example|1700000000|fix: a | b\n\n3\t0\tsrc/a.rs\n-\t-\tlogo.png\n0\t2\tsrc/b.rs\n\ne5f60718|Bo|bo@x.example|1700003600|more\n4\t4\tsrc/a.rs"
+    return parse_log(spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, value string"))
+
+
+def src_9_numstat_log(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-9, SRC-10: a log of two commits, parsed."""
+    return _log(spark)
+
+
+def src_17_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-17: covered lines of four small reports, one of each format."""
+    from codelens.sources.paths import covered_lines
+
+    docs = [
+        '{"data": [{"files": [{"filename": "a.rs", "segments": [[1, 1, 3, true, true, false], [2, 1, 0, true, true, false], [4, 1, 5, false, false, false]]}]}]}',
+        '{"b.js": {"path": "b.js", "statementMap": {"0": {"start": {"line": 3, "column": 0}, "end": {"line": 3, "column": 9}}, "1": {"start": {"line": 5, "column": 0}, "end": {"line": 5, "column": 9}}}, "s": {"0": 2, "1": 0}}}',
+        '{"files": {"c.py": {"executed_lines": [1, 2, 2], "missing_lines": [3]}}}',
+        '{"Packages": [{"Name": "p", "Coverage": 0.5, "Files": [{"Name": "d.go", "Lines": [{"StartLine": 7, "StartCol": 1, "EndLine": 8, "EndCol": 2, "Count": 1}, {"StartLine": 9, "StartCol": 1, "EndLine": 9, "EndCol": 2, "Count": 0}]}]}]}',
+    ]
+    out = covered_lines(spark, docs[0])
+    for x in docs[1:]:
+        out = out.union(covered_lines(spark, x))
+    return out.distinct()
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0] in ("p6", "inc", "set", "src", "snk") and callable(v)}
+SQL = {
+    "p6_found": _P6,
+    "inc_1_index_diff": "with a as (select run_id, arg_max(status, attempt) as s from sync_runs group by run_id), w as (select max(run_id) as w from a where s = 'success'), f as (select distinct path from source_files), r as (select rel_path as path, run_id, file_hash, row(parsed_at, run_id, file_hash) as o from parsed_files where file_hash is not null), h as (select path, arg_max(file_hash, o) as now, arg_max(file_hash, o) filter (run_id <= w) as was from r, w group by path) select coalesce(f.path, h.path) as path, case when was is null then 'new' when f.path is null then 'deleted' when was <> now then 'changed' else 'kept' end as state from f full join h on f.path = h.path",
+    "inc_2_upserted_symbols": "select file_path, symbol_name, chunk_index, arg_max(id, row(created_at, run_id, id)) as id from symbols where content_hash is not null and file_path in (select path from source_files) group by all",
+    "set_3_removed_files": "select distinct path from file_changes where path is not null and path not in (select rel_path from parsed_files)",
+    "src_8_commit_log": "select sha, min(ts) as ts, arg_max(author, row(ingested_at, author)) as author from commits group by sha having min(ts) >= timestamp '2020-03-01' order by ts desc, sha limit 300",
+    "snk_1_sarif": "select distinct id, 'complexity' as rule_id, case when cyclomatic_complexity >= 8 then 'error' when cyclomatic_complexity >= 6 then 'warning' else 'note' end as level, file_path as uri, start_line as line, symbol_name || ' has cyclomatic complexity ' || cyclomatic_complexity::int as message from symbols where cyclomatic_complexity >= 4",
+    "src_9_numstat_log": "select * from (values ('a1b2c3d4', 'Ann', 'ann@x.example', timestamp '2023-11-14 22:13:20', 'fix: a | b', 'src/a.rs', 3::bigint, 0::bigint, 'added'), ('a1b2c3d4', 'Ann', 'ann@x.example', timestamp '2023-11-14 22:13:20', 'fix: a | b', 'src/b.rs', 0, 2, 'deleted'), ('e5f60718', 'Bo', 'bo@x.example', timestamp '2023-11-14 23:13:20', 'more', 'src/a.rs', 4, 4, 'modified')) t(sha, author, email, ts, message, path, additions, deletions, change_type)",
+    "src_17_coverage": "select * from (values ('a.rs', 1), ('b.js', 3), ('c.py', 1), ('c.py', 2), ('d.go', 7), ('d.go', 8)) t(path, line)",
+}
