@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelens.functions import stats
+from codelens.sources.checkpoints import cut
 
 
 def file_churn(commits: DataFrame, changes: DataFrame) -> DataFrame:
@@ -196,6 +197,7 @@ def factors() -> dict:
 
 def commit_risk(features: DataFrame, norms: DataFrame | None = None) -> DataFrame:
     """AGG-10 and AGG-11: weighted risk of each commit in [0, 1], 0.05 for automated ones, and its level by p95 and p80."""
+    features = cut(features)  # ranked by nine measures
     norms = normalizers(features) if norms is None else norms
     total = sum(factors().values(), F.lit(0.0))
     r = features.join(F.broadcast(norms)).withColumn("risk", F.round(F.when(F.col("is_automated"), 0.05).otherwise(stats.clamp(total)), 6))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codelens.operators import history as h
 from codelens.sources import tables as t
+from codelens.sources.checkpoints import cut
 
 CTE = """
 with cm as (select o_orderkey as sha, o_custkey as author, o_orderdate as ts, o_orderpriority as message, o_orderstatus as status from orders),
@@ -139,7 +140,7 @@ def agg_12_commit_features(s, d):
 
 
 def agg_9_normalizers(s, d):
-    n = h.normalizers(_features(s, d))
+    n = h.normalizers(cut(_features(s, d)))
     return n.select(*SIX(*sorted(n.columns)))
 
 

@@ -18,3 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder and read from there; its parents are forgotten."""
     ensure_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, for costly Python stages: rows move only if the scan has fewer partitions than there are cores, that
+    is, if the input is a few small files; large inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelens.sources.checkpoints import spread
+
 #: Languages by extension.
 EXTENSIONS = {"go": "go", "rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "tsx": "tsx", "jsx": "jsx", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "cs": "csharp", "rb": "ruby", "rake": "ruby", "gemspec": "ruby", "php": "php", "sh": "bash", "bash": "bash"}
 #: Keywords that branch, that nest, and that branch without nesting, by language.
@@ -171,10 +173,10 @@ def functions(text: str, language: str) -> list[dict]:
     return out
 
 
-def classes(text: str, language: str) -> list[dict]:
-    """PAR-3: the classes of a file with methods and fields."""
+def classes(text: str, language: str, found: list[dict] | None = None) -> list[dict]:
+    """PAR-3: the classes of a file with methods and fields (found: its functions, where known)."""
     clean, out = stripped(text, language), []
-    found = functions(text, language)
+    found = functions(text, language) if found is None else found
     for m in re.finditer(CLASSES.get(language, CLASS), clean, re.M):
         start = m.start() + len(m.group()) - len(m.group().lstrip())
         end = _body_end(clean, start, language)
@@ -191,7 +193,7 @@ def imports(text: str, language: str) -> list[tuple[str, int]]:
     return [(next(g for g in m.groups() if g), text.count("\n", 0, m.end()) + 1) for m in re.finditer(p, text, re.M)] if p else []
 
 
-def stubs(text: str, language: str) -> list[tuple[str, str, int, str]]:
+def stubs(text: str, language: str, known: list[dict] | None = None) -> list[tuple[str, str, int, str]]:
     """TXT-8 to TXT-10: (kind, severity, line, function): functions that don't do their work.
 
     not_implemented over empty_body over elision; a weak elision counts only beside one of the others, and elision in an
@@ -202,7 +204,7 @@ def stubs(text: str, language: str) -> list[tuple[str, str, int, str]]:
     out, lines = [], text.split("\n")
     todo = re.compile(r"\b(?:todo|unimplemented)!\s*\(|\braise\s+NotImplementedError\b|\bNotImplementedException\b|\bUnsupportedOperationException\b|(?:throw\s+new\s+\w*Error|panic!?|raise|errors\.New)\s*\(?\s*[\"']([^\"']*)[\"']")
     mark = "#" if language in ("python", "ruby", "bash") else "//"
-    for f in functions(text, language):
+    for f in functions(text, language) if known is None else known:
         body = lines[f["start_line"] - 1 : f["end_line"]]
         found, comments = {}, [(i, s.split(mark, 1)[1]) for i, s in enumerate(body) if mark in s]
         for i, s in enumerate(body):
@@ -247,10 +249,11 @@ def extract(files: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
             rows = []
             for path, language, content in zip(b["path"], b["language"], b["content"]):
                 text = (content or b"").decode("utf-8", "replace").replace("\r\n", "\n").removeprefix("﻿")
-                rows.append((path, language, text.count("\n") + bool(text and not text.endswith("\n")), functions(text, language), classes(text, language), [{"name": n, "line": i} for n, i in imports(text, language)],
-                             [dict(zip(("kind", "severity", "line", "function"), x)) for x in stubs(text, language)]))
+                found = functions(text, language)
+                rows.append((path, language, text.count("\n") + bool(text and not text.endswith("\n")), found, classes(text, language, found), [{"name": n, "line": i} for n, i in imports(text, language)],
+                             [dict(zip(("kind", "severity", "line", "function"), x)) for x in stubs(text, language, found)]))
             yield pd.DataFrame(rows, columns=["path", "language", "lines", "functions", "classes", "imports", "stubs"])
 
     d = files.select("path", language_column(F.col("path")).alias("language"), F.col("content").cast("binary").alias("content"))
     d = d.where(F.col("language").isNotNull() & (F.coalesce(F.octet_length("content"), F.lit(0)) <= most_bytes))
-    return d.mapInPandas(run, SCHEMA).dropDuplicates(["path"])
+    return spread(d).mapInPandas(run, SCHEMA).dropDuplicates(["path"])
