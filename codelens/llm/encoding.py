@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm.bpe import DEFAULT_FOLDER, encoder
+from codelens.sources.checkpoints import spread
 
 
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> DataFrame:
@@ -28,7 +29,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                 flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(x.tobytes() for x in ids))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", name: str = "n_tokens", tokenizer: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> DataFrame:
@@ -41,4 +42,4 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", name: str =
             n = pa.array([enc.count(t) for t in b.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], names=[*keep, name])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, {name} bigint")
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, f"{schema}, {name} bigint")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions.filters import may_match
-from codelens.sources.checkpoints import cut
+from codelens.sources.checkpoints import cut, spread
 
 CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -167,7 +167,7 @@ class Spans:
                 row, pos, h, left, right = anchors(b["content"].tolist(), length)
                 yield pd.DataFrame({"c1": b["c1"].to_numpy()[row], "c2": b["c2"].to_numpy()[row], "p": pos.astype(np.int32), "h": h, "l": left, "r": right})
 
-        return self.rows.select("c1", "c2", "content").mapInPandas(run, "c1 bigint, c2 bigint, p int, h bigint, l bigint, r bigint")
+        return spread(self.rows.select("c1", "c2", "content")).mapInPandas(run, "c1 bigint, c2 bigint, p int, h bigint, l bigint, r bigint")
 
     def windows(self) -> DataFrame:
         """(h, c1, c2, start): the windows of the whole length that occur in at least two contents."""

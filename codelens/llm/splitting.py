@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm.bpe import DEFAULT_FOLDER, Encoder, encoder
+from codelens.sources.checkpoints import spread
 
 #: Pieces of the tokenizer's pattern longer than this many characters (or an eighth of the limit) may be cut inside.
 ATOM = 24
@@ -112,4 +113,4 @@ def pieces(
             ]
             yield pd.DataFrame(rows, columns=[key, "piece", "n_pieces", "start", "end", "overlap_chars", "n_tokens", "piece_text"])
 
-    return df.select(key, text).where(F.octet_length(text) > limit).mapInPandas(run, f"`{key}` {kind}, piece int, n_pieces int, start int, end int, overlap_chars int, n_tokens int, piece_text string")
+    return spread(df.select(key, text).where(F.octet_length(text) > limit)).mapInPandas(run, f"`{key}` {kind}, piece int, n_pieces int, start int, end int, overlap_chars int, n_tokens int, piece_text string")
