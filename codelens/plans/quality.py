@@ -91,18 +91,18 @@ def agg_36_composite(s, d):
 
 def _monthly(s, d):
     c = t.commits(s, d)
-    return c.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.round(F.avg("size"), 2).alias("score"))
+    return c.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.max("size").alias("score"))
 
 
 def agg_37_regression(s, d):
-    return q.regression(_monthly(s, d), "score", [], ["month"]).select("n", *SIX("slope", "intercept", "r2", "correlation"))
+    return q.regression(_monthly(s, d), "score", [], ["month"]).select("n", *[F.round(c, 4).alias(c) for c in ("slope", "intercept", "r2", "correlation")])
 
 
 def agg_38_component_trends(s, d):
     c = t.commits(s, d)
-    m = c.groupBy("status", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.round(F.avg("size"), 2).alias("score"))
+    m = c.groupBy("status", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.max("size").alias("score"))
     flat = c.groupBy(F.lit("flat").alias("status"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.lit(7.0).alias("score"))
-    return q.regression(m.unionByName(flat), "score", ["status"], ["month"]).select("status", "n", *SIX("slope", "intercept", "r2", "correlation"))
+    return q.regression(m.unionByName(flat), "score", ["status"], ["month"]).select("status", "n", *[F.round(c, 4).alias(c) for c in ("slope", "intercept", "r2", "correlation")])
 
 
 def win_10_regression_index(s, d):
@@ -185,7 +185,7 @@ c as (select area, case k when 0 then 'complexity' when 1 then 'deadcode' when 2
  else greatest(0, case when x <= 0 then 100 when x <= 0.1 then 90 + 100 * (0.1 - x) when x <= 0.5 then 70 + 50 * (0.5 - x) when x <= 1 then 50 + 40 * (1 - x) else 50 - 10 * (x - 1) end) end::double as score from v) """
 _WCASE = "case component " + " ".join(f"when '{k}' then {v}" for k, v in q.SCORE_WEIGHTS.items()) + " end::double"
 _GRID = CTE + ", b as (select epoch(min(ts))::bigint as a, epoch(max(ts))::bigint as z from cm), gr as (select i::int as i, (a + floor((z - a) * i / 23.0::double))::bigint as t from b, range(24) r(i)), gw as (select i, t, lag(t, 1, 0) over (order by i) as before from gr) "
-_REGR = "count(*) as n, round(regr_slope(score, x), 6) as slope, round(regr_intercept(score, x), 6) as intercept, round(case when var_pop(score) = 0 then 0 else regr_r2(score, x) end, 6) as r2, round(sqrt(case when var_pop(score) = 0 then 0 else regr_r2(score, x) end), 6) as correlation"
+_REGR = "count(*) as n, round(regr_slope(score, x), 4) as slope, round(regr_intercept(score, x), 4) as intercept, round(case when var_pop(score) = 0 then 0 else regr_r2(score, x) end, 4) as r2, round(sqrt(case when var_pop(score) = 0 then 0 else regr_r2(score, x) end), 4) as correlation"
 
 SQL = {
     "joi_2_defect_inputs": _DEFECT + "select path, loc, contributors, estimated, coupling, round(churn, 6) as churn, round(complexity, 6) as complexity, round(duplication, 6) as duplication from di",
@@ -198,9 +198,9 @@ SQL = {
     "agg_34_tdg_project": _TDG + f", p as (select language, count(*) as files, avg(total) as mean from tt group by language) select language, files, {_G.format(x='mean')} as grade, round(mean, 6) as mean from p",
     "agg_35_component_scores": _COMP + "select area, component, round(score, 6) as score from c",
     "agg_36_composite": _COMP + f", w as (select *, case when score is null then 0 else {_WCASE} end as w from c), a as (select area, coalesce(sum(score * w) / nullif(sum(w), 0), 100) as score, count(*) filter (score < 50) as critical, coalesce(string_agg(case when score is null then component end, ',' order by component), '') as skipped from w group by area) select area, {_L.format(x='score')} as grade, critical, skipped, round(score, 6) as score from a",
-    "agg_37_regression": CTE + f", m as (select strftime(ts, '%Y-%m') as month, round(avg(size), 2) as score from (select o_orderdate as ts, o_totalprice as size from orders) group by 1), r as (select *, row_number() over (order by month) - 1 as x from m) select {_REGR} from r",
-    "agg_38_component_trends": f"with m as (select o_orderstatus as status, strftime(o_orderdate, '%Y-%m') as month, round(avg(o_totalprice), 2) as score from orders group by all union all select distinct 'flat', strftime(o_orderdate, '%Y-%m'), 7.0::double from orders), r as (select *, row_number() over (partition by status order by month) - 1 as x from m) select status, {_REGR} from r group by status",
-    "win_10_regression_index": "with m as (select strftime(o_orderdate, '%Y-%m') as month, round(avg(o_totalprice), 2) as score from orders group by 1) select month, score, row_number() over (order by month) - 1 as x from m",
+    "agg_37_regression": CTE + f", m as (select strftime(ts, '%Y-%m') as month, max(size) as score from (select o_orderdate as ts, o_totalprice as size from orders) group by 1), r as (select *, row_number() over (order by month) - 1 as x from m) select {_REGR} from r",
+    "agg_38_component_trends": f"with m as (select o_orderstatus as status, strftime(o_orderdate, '%Y-%m') as month, max(o_totalprice) as score from orders group by all union all select distinct 'flat', strftime(o_orderdate, '%Y-%m'), 7.0::double from orders), r as (select *, row_number() over (partition by status order by month) - 1 as x from m) select status, {_REGR} from r group by status",
+    "win_10_regression_index": "with m as (select strftime(o_orderdate, '%Y-%m') as month, max(o_totalprice) as score from orders group by 1) select month, score, row_number() over (order by month) - 1 as x from m",
     "win_8_sample_grid": _GRID + "select * from gw",
     "joi_8_as_of": _GRID + ", x as (select i, t, (select c.sha from cm c where epoch(c.ts) <= t order by c.ts desc, c.sha desc limit 1) as sha from gw), y as (select *, lag(sha) over (order by i) as p from x) select i, t, sha from y where sha is not null and (p is null or p <> sha)",
     "joi_9_window_messages": _GRID + ", x as (select i, cm.sha, message, row_number() over (partition by i order by ts desc, cm.sha desc) as rank from cm join gw on epoch(ts) > before and epoch(ts) <= t) select i, rank, sha, message from x where rank <= 5",
