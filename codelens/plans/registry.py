@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["incremental", "history", "quality", "text", "clones", "graphs", "code", "mutation"]
+MODULES = ["incremental", "history", "quality", "text", "clones", "graphs", "code", "mutation", "details"]
 
 
 def _merged(name: str) -> dict:
