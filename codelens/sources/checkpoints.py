@@ -23,5 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores, for costly Python stages: rows move only if the scan has fewer partitions than there are cores, that
     is, if the input is a few small files; large inputs stay where they are."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df  # asking for its partitions would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
