@@ -23,6 +23,16 @@ def percentiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFram
     return h.agg(*[F.coalesce(F.min(F.when(F.col("upto") >= at(p), F.col("v"))), F.lit(0)).alias(name) for name, p in wanted.items()])
 
 
+def percentile_of_each(df: DataFrame, values: dict[str, Column], p: float) -> DataFrame:
+    """One row: for each named value what `percentiles` gives, all counted and ranked in one pass."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("double").alias("v")) for k, v in values.items()])).alias("x")).select("x.*")
+    h = long.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("k").orderBy("v")
+    h = h.select("k", "v", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    hit = F.col("upto") >= F.round(F.lit(p) * (F.col("n") - 1)) + 1
+    return h.agg(*[F.coalesce(F.min(F.when((F.col("k") == k) & hit, F.col("v"))), F.lit(0.0)).alias(k) for k in values])
+
+
 def mid_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """`df` with 100 * (below + 0.5 * equal) / n of the value among all rows (WIN-1)."""
     h = histogram(df, value).select(F.col("v").alias(value), (100 * (F.col("upto") - F.col("c") + 0.5 * F.col("c")) / F.col("n")).alias(name))

@@ -175,13 +175,9 @@ P95 = ["lines_added", "lines_deleted", "num_files", "unique_changes", "num_devel
 
 def normalizers(features: DataFrame) -> DataFrame:
     """AGG-9: p95 of each feature, one at least; whole numbers are cut to whole numbers by being such."""
-    out = None
-    for c in P95:
-        v = features.select(F.round(F.col(c).cast("double"), 6).alias("v"))
-        p = stats.percentiles(v, "v", {f"max_{c}": 0.95}).select(F.greatest(F.col(f"max_{c}"), F.lit(1.0)).alias(f"max_{c}"))
-        out = p if out is None else out.join(F.broadcast(p))
-    x = stats.percentiles(features.select(F.col("file_complexity").alias("v")), "v", {"m": 0.95}).select(F.greatest("m", F.lit(1.0)).alias("max_file_complexity"), F.lit(1.0).alias("max_file_churn"))
-    return out.join(F.broadcast(x))
+    each = {c: F.round(F.col(c).cast("double"), 6) for c in [*P95, "file_complexity"]}
+    p = stats.percentile_of_each(features, each, 0.95)
+    return p.select(*[F.greatest(F.col(c), F.lit(1.0)).alias(f"max_{c}") for c in each], F.lit(1.0).alias("max_file_churn"))
 
 
 def _normal(name: str):

@@ -168,10 +168,13 @@ def agg_30_lcom(s, d):
 
 
 def lcom(uses):
-    """uses: class c, method m, field f. Components by least-node propagation over methods and fields of all classes at once."""
-    e = uses.select(F.xxhash64(F.lit("m"), "c", "m").alias("src"), F.xxhash64(F.lit("f"), "c", "f").alias("dst"), "c", "m", "f")
+    """uses: class c, method m, field f. Components of the methods of all classes at once."""
+    first = uses.groupBy("c", "f").agg(F.min("m").alias("one"))
+    node = lambda m: F.xxhash64("c", m)
+    # methods that share a field are joined to the first of them: few edges, most of which are a method's own
+    e = uses.join(first, ["c", "f"]).select(node("m").alias("src"), node("one").alias("dst"))
     comp = g.connected_components(e)
-    m = e.select("c", "m", "f", F.col("src").alias("node")).join(comp, "node")
+    m = uses.select("c", "m", "f", node("m").alias("node")).join(comp, "node")
     return m.groupBy("c").agg(F.count_distinct("component").alias("lcom"), F.count_distinct("m").alias("methods"), F.count_distinct("f").alias("fields"))
 
 
