@@ -45,10 +45,11 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """GRA-2: (node, rank) after so many rounds; what nodes without out-edges hold is dropped, ranks don't add up to 1.
 
-    Each round is one join and one aggregation on the node; lineage is cut every five rounds.
+    Each round is one join and one aggregation on the node; lineage is cut every five rounds. With a tolerance the ranks settle
+    when a round moves them by less in sum; lineage is cut every round then.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     e = cut(edges.join(out, "src").select("src", "dst", "deg"))
@@ -56,9 +57,16 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: floa
     base = nodes.select("node")
     r = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(rounds):
+        old = r
         got = e.join(r, e["src"] == r["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("in"))
         r = base.join(got, base["node"] == got["dst"], "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
-        if i % 5 == 4:
+        if tolerance is not None:
+            new = cut(r)
+            moved = new.join(old.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            r = new
+            if moved is None or moved < tolerance:
+                break
+        elif i % 5 == 4:
             r = cut(r)
     return r
 

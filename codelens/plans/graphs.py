@@ -11,6 +11,7 @@ from codelens.operators import graphs as g
 from codelens.operators import quality as q
 from codelens.plans.history import SIX
 from codelens.sources import tables as t
+from codelens.sources.checkpoints import cut
 
 
 def gra_1_dependencies(s, d):
@@ -41,7 +42,7 @@ def gra_2_pagerank(s, d):
 
 def gra_2_call_rank(s, d):
     e = _calls(s, d)
-    return g.pagerank(e, g.nodes_of(e), 5).select("node", F.round(F.col("rank") * 1000, 4).alias("rank"))
+    return g.pagerank(e, cut(g.nodes_of(e)), 100, tolerance=1e-6).select("node", F.round(F.col("rank") * 1000, 4).alias("rank"))
 
 
 def gra_3_betweenness(s, d):

@@ -88,3 +88,19 @@ def test_smells_and_degrees_over_all_calls(spark, calls):
     }
     (r,) = Q["agg_43_graph_summary"](spark, d).collect()
     assert (r.nodes, r.edges, r.max_degree, r.instability) == (len(nodes), len(e), max(i[n] + o[n] for n in nodes), mean)
+
+
+def test_call_rank_settles(spark, calls):
+    d, e = calls
+    nodes, deg = {x for p in e for x in p}, defaultdict(int)
+    for a, _ in e:
+        deg[a] += 1
+    rank, moved, rounds = dict.fromkeys(nodes, 1 / len(nodes)), 1, 0
+    while moved >= 1e-6 and rounds < 100:
+        new = dict.fromkeys(nodes, 0.15 / len(nodes))
+        for a, b in e:
+            new[b] += 0.85 * rank[a] / deg[a]
+        rank, moved, rounds = new, sum(abs(new[n] - rank[n]) for n in nodes), rounds + 1
+    assert rounds > 20
+    got = dict(rows(spark, "gra_2_call_rank", d))
+    assert set(got) == nodes and all(abs(got[n] - rank[n] * 1000) < 1e-4 for n in nodes)
