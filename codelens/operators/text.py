@@ -182,8 +182,12 @@ def suggestions(df: DataFrame, column: str, asked: str, k: int = 10) -> DataFram
 
 
 def enriched(path: Column, name: Column, body: Column, most: int = 1500) -> Column:
-    """TXT-19: [path] name, a line end and the body's first characters."""
-    return F.concat(F.lit("["), path, F.lit("] "), name, F.lit("\n"), F.left(body, F.lit(most)))
+    """TXT-19: [path] name, a line end and the body's first `most` bytes, without a character that is cut."""
+    b = F.encode(body, "utf-8")
+    inside = lambda n: F.hex(F.substring(b, n + 1, 1)).between("80", "BF")
+    end = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    cut = F.decode(b.substr(F.lit(1), end), "utf-8")
+    return F.concat(F.lit("["), path, F.lit("] "), name, F.lit("\n"), F.when(F.octet_length(body) <= most, body).otherwise(cut))
 
 
 def chunks(df: DataFrame, key: str, text: str, most: int = 500) -> DataFrame:

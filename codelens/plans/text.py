@@ -57,7 +57,7 @@ def txt_18_search_tokens(s, d):
 
 
 def txt_19_enriched(s, d):
-    return t.table(s, d, "symbols").select("id", x.enriched(F.col("file_path"), F.col("symbol_name"), F.coalesce("signature", F.lit("")), 24).alias("text")).distinct()
+    return t.table(s, d, "symbols").select("id", x.enriched(F.col("file_path"), F.col("symbol_name"), F.coalesce("signature", F.lit(""))).alias("text")).distinct()
 
 
 def txt_20_chunks(s, d):

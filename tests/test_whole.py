@@ -104,3 +104,10 @@ def test_call_rank_settles(spark, calls):
     assert rounds > 20
     got = dict(rows(spark, "gra_2_call_rank", d))
     assert set(got) == nodes and all(abs(got[n] - rank[n] * 1000) < 1e-4 for n in nodes)
+
+
+def test_enriched_keeps_1500_bytes(spark, tmp_path):
+    texts = ["", "def f(a_rather_long_name, another):", "x" * 1500, "x" * 1501, "x" * 1498 + "é€", "x" * 1499 + "€", "x" * 1497 + "€", "x" * 1498 + "😀", "é" * 900]
+    spark.createDataFrame(list(enumerate(texts)), "id int, signature string").selectExpr("id", "'a.py' as file_path", "'f' as symbol_name", "signature").write.parquet(f"{tmp_path}/symbols.parquet")
+    want = {i: "[a.py] f\n" + t.encode()[:1500].decode("utf-8", "ignore") for i, t in enumerate(texts)}
+    assert dict(rows(spark, "txt_19_enriched", str(tmp_path))) == want
