@@ -9,6 +9,7 @@ without line breaks. A mention of such things in code, strings or later comments
 
 from __future__ import annotations
 
+import io
 import re
 
 import numpy as np
@@ -34,7 +35,10 @@ TOOL_NOTICE = re.compile(
 )
 #: Notices on copies of released third-party code.
 COPY_NOTICE = re.compile(r"\bvendored from\b|\bbundled copy\b.*\bupstream\b|\bimported unmodified from\b|\(c\) the [\w.-]+ authors \| do not\b|\bcopied verbatim from\b|^\W*@license\b", re.I)
-BUNDLE = re.compile(r"\(function\s*\(modules\)\s*\{|__webpack_require__|\bparcelRequire\b|System\.register\(\[|\b__esModule\b[\s\S]*\bswitch\s*\(_a\.label\)|\bvar __(?:awaiter|generator|extends|assign)\w* = \(this && this\.__")
+BUNDLE = re.compile(r"\(function\s*\(modules\)\s*\{|__webpack_require__|\bparcelRequire\b|System\.register\(\[|\bvar __(?:awaiter|generator|extends|assign)\w* = \(this && this\.__")
+COMPILED = re.compile(r"\b__esModule\b"), re.compile(r"\bswitch\s*\(_a\.label\)")
+#: Comments and strings; not the string that marks a compiled module.
+SILENT = re.compile(r"""/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*|(["'])__esModule\1|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`""", re.M)
 NOTICE_OF = re.compile(r"Copyright \(c\) (?:the )?([\w.-]+)(?: contributors| authors|\b)|This file is part of ([\w-]+)|^\W*([\w-]+) - all rights reserved", re.M)
 COMMENT = re.compile(rb"/\*[\s\S]*?\*/|(?://|^[ \t]*#(?!include|define|if|endif|else)|^[ \t]*--)[^\n]*", re.M)
 LITERAL = re.compile(r'"[A-Za-z0-9+/=_\\x-]{200,}"|\'[A-Za-z0-9+/=_\\x-]{200,}\'')
@@ -44,7 +48,7 @@ GRAM, WINDOW = 48, 112
 def leading_comment(text: str) -> list[str]:
     """The comment lines before the first line of code."""
     out, inside = [], False
-    for line in text[:4096].split("\n")[:40]:
+    for line in io.StringIO(text):
         s = line.strip().lstrip("﻿")
         if inside:
             out.append(s)
@@ -79,6 +83,16 @@ def repetition(text: str) -> float:
     return best
 
 
+def bundled(text: str) -> bool:
+    """Whether bundlers' or compilers' marks stand anywhere in the text outside comments and strings."""
+
+    def marked(t: str) -> bool:
+        first = COMPILED[0].search(t)
+        return bool(BUNDLE.search(t) or first and COMPILED[1].search(t, first.end()))
+
+    return marked(text) and marked(SILENT.sub(lambda m: m[0] if m[1] else " ", text))
+
+
 def kind_of(path: str | None, content: bytes | None) -> str | None:
     """generated, minified, vendored or data by the file alone; None for what a person may have written."""
     p = (path or "").replace("\\", "/")
@@ -88,13 +102,13 @@ def kind_of(path: str | None, content: bytes | None) -> str | None:
         return None
     text = content.decode("utf-8", "replace")
     head = leading_comment(text)
-    if any(COPY_NOTICE.search(x) for x in head[:6]):
+    if any(COPY_NOTICE.search(x) for x in head):
         return "vendored"
     if any(TOOL_NOTICE.search(x) for x in head):
         return "generated"
     size, lines = len(text), text.count("\n") + 1
     output = bool(OUTPUT_PATH.search(p))
-    if BUNDLE.search(text, 0, 2000):
+    if bundled(text):
         return "minified"
     literal = sum(len(m) for m in LITERAL.findall(text)) if size >= 300 else 0
     if literal > 0.6 * size:
@@ -138,7 +152,7 @@ def fingerprints(contents: list[bytes]) -> list[np.ndarray]:
 
 def notices(content: bytes | None) -> list[str]:
     """The projects that the leading comment names as owners."""
-    head = "\n".join(leading_comment((content or b"")[:4096].decode("utf-8", "replace"))[:6])
+    head = "\n".join(leading_comment((content or b"").decode("utf-8", "replace")))
     return [g for m in NOTICE_OF.finditer(head) for g in m.groups() if g]
 
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from codelens.llm import origins
 from codelens.plans import registry
 
 Q = registry.queries()
@@ -111,3 +112,16 @@ def test_enriched_keeps_1500_bytes(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "id int, signature string").selectExpr("id", "'a.py' as file_path", "'f' as symbol_name", "signature").write.parquet(f"{tmp_path}/symbols.parquet")
     want = {i: "[a.py] f\n" + t.encode()[:1500].decode("utf-8", "ignore") for i, t in enumerate(texts)}
     assert dict(rows(spark, "txt_19_enriched", str(tmp_path))) == want
+
+
+def test_origins_read_the_whole_text():
+    banner = "/*\n" + " * Permission is hereby granted, free of charge, to any person.\n" * 100 + " */\n"
+    code = "".join(f"function f{i}(a, b) {{\n  if (a > b) return a + {i};\n  return b.size * a\n}}\n" for i in range(3))
+    kind = lambda t, p="a.js": origins.kind_of(p, t.encode())
+    assert kind(banner + code) is None
+    assert kind(banner + "var m = __webpack_require__(3);\n" + code) == "minified"
+    assert kind(banner + 'Object.defineProperty(exports, "__esModule", { value: true });\nswitch (_a.label) {\n}\n' + code) == "minified"
+    assert kind(code + "// __webpack_require__ is a mark\n" + "var m = '__webpack_require__', n = \"parcelRequire\", o = `System.register([`;\n") is None
+    assert kind(banner.replace("*/", "* vendored from upstream\n */") + code) == "vendored"
+    assert kind(banner.replace("*/", "* Code generated by tool. DO NOT EDIT.\n */") + code) == "generated"
+    assert origins.notices((banner.replace("*/", "* This file is part of ours\n */") + code).encode()) == ["ours"]
