@@ -16,12 +16,17 @@ def _files(s, d):
     return t.table(s, d, "source_files").select("repo", "path", "content").dropDuplicates(["path"])
 
 
-def _code(s, d):
-    return x.extract(t.table(s, d, "source_files").select("path", "content"))
+def _code(s, d, most_bytes=5 * 1024 * 1024):
+    return x.extract(t.table(s, d, "source_files").select("path", "content"), most_bytes)
 
 
-def _functions(s, d):
-    return _code(s, d).select("path", "language", F.explode("functions").alias("f")).select("path", "language", "f.*")
+def _measured(s, d):
+    """Functions of the files that complexity is measured in: 1 MB at most (SRC-7)."""
+    return _functions(s, d, 1_000_000)
+
+
+def _functions(s, d, most_bytes=5 * 1024 * 1024):
+    return _code(s, d, most_bytes).select("path", "language", F.explode("functions").alias("f")).select("path", "language", "f.*")
 
 
 def src_2_built_assets(s, d):
@@ -94,7 +99,7 @@ def par_4_imports(s, d):
 
 def par_6_cyclomatic(s, d):
     """PAR-6, PAR-7, PAR-8: measures of each function."""
-    return _functions(s, d).select("path", "name", "start_line", "cyclomatic", "cognitive", "nesting")
+    return _measured(s, d).select("path", "name", "start_line", "cyclomatic", "cognitive", "nesting")
 
 
 def par_10_outline(s, d):
@@ -106,14 +111,14 @@ def par_10_outline(s, d):
 
 def agg_6_complexity_rollup(s, d):
     """AGG-6: totals and means per file, percentiles over all functions."""
-    f = _functions(s, d)
+    f = _measured(s, d)
     per = f.groupBy("path").agg(F.count("*").alias("functions"), F.sum("cyclomatic").alias("cyclomatic"), F.round(F.avg("cognitive"), 6).alias("mean_cognitive"), F.max("cyclomatic").alias("max_cyclomatic"))
     return per.join(F.broadcast(stats.percentiles(f, "cyclomatic", {"p90": 0.9, "p95": 0.95})))
 
 
 def fil_4_violations(s, d):
     """FIL-4 and FIL-5: functions over a limit, with their severity."""
-    f = _functions(s, d).where("cyclomatic > 5 or cognitive > 8")
+    f = _measured(s, d).where("cyclomatic > 5 or cognitive > 8")
     return f.select("path", "name", "start_line", "cyclomatic", "cognitive", F.when((F.col("cyclomatic") > 10) | (F.col("cognitive") > 15), "error").otherwise("warn").alias("gate"))
 
 
@@ -150,7 +155,7 @@ def txt_11_stub_rollup(s, d):
 
 def agg_45_risk_digest(s, d):
     """AGG-45: complex functions (cognitive 15 or cyclomatic 10 at least), the worst first, 25 at most."""
-    f = _functions(s, d).where("cognitive >= 15 or cyclomatic >= 10")
+    f = _measured(s, d).where("cognitive >= 15 or cyclomatic >= 10")
     return f.select("path", "name", "cyclomatic", "cognitive", F.when((F.col("cognitive") >= 30) | (F.col("cyclomatic") >= 20), "high").otherwise("medium").alias("severity")).orderBy(F.desc("cognitive"), F.desc("cyclomatic"), "path", "name").limit(25)
 
 

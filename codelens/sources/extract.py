@@ -238,7 +238,7 @@ def language_column(path):
     return F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[ext]
 
 
-def extract(files: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
+def extract(files: DataFrame, most_bytes: int = 5 * 1024 * 1024) -> DataFrame:
     """PAR-1: one row per file (path, content) of a known language of at most `most_bytes` (SRC-7), with all that is read out of it.
 
     Undecodable bytes are replaced; repeated paths count once; null contents are empty.

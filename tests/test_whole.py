@@ -125,3 +125,12 @@ def test_origins_read_the_whole_text():
     assert kind(banner.replace("*/", "* vendored from upstream\n */") + code) == "vendored"
     assert kind(banner.replace("*/", "* Code generated by tool. DO NOT EDIT.\n */") + code) == "generated"
     assert origins.notices((banner.replace("*/", "* This file is part of ours\n */") + code).encode()) == ["ours"]
+
+
+def test_files_over_a_megabyte_are_extracted(spark, tmp_path):
+    code = lambda size: ("import os\n\ndef f(a):\n    if a:\n        return os\n" + "#" * size)[:size].encode()
+    files = [("a.py", code(1_000_000)), ("b.py", code(1_000_001)), ("c.py", code(5 * 1024 * 1024)), ("d.py", code(5 * 1024 * 1024 + 1))]
+    spark.createDataFrame(files, "path string, content binary").write.parquet(f"{tmp_path}/source_files.parquet")
+    paths = lambda name: [r.path for r in Q[name](spark, str(tmp_path)).orderBy("path").collect()]
+    assert paths("par_2_functions") == paths("par_4_imports") == ["a.py", "b.py", "c.py"]
+    assert paths("par_6_cyclomatic") == paths("agg_6_complexity_rollup") == ["a.py"]
