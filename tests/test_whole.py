@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from codelens.llm import origins
+from codelens.llm import names, origins
 from codelens.plans import registry
 
 Q = registry.queries()
@@ -134,3 +134,21 @@ def test_files_over_a_megabyte_are_extracted(spark, tmp_path):
     paths = lambda name: [r.path for r in Q[name](spark, str(tmp_path)).orderBy("path").collect()]
     assert paths("par_2_functions") == paths("par_4_imports") == ["a.py", "b.py", "c.py"]
     assert paths("par_6_cyclomatic") == paths("agg_6_complexity_rollup") == ["a.py"]
+
+
+def test_near_forms_take_the_best_and_compare_rare_ones(spark):
+    rows = [("robert", "sinifa", True), ("roberta", "sinifa", True), ("robret", "sinifa", False), ("leonard", "pojusto", False), ("leonrad", "pojusto", False), ("jon", "pojusto", False), ("ines", "bibriri", False)]
+    forms = spark.createDataFrame([(f"{a} {b}", a, b, t) for a, b, t in rows], "form string, first string, last string, attested boolean")
+    got = {tuple(r) for r in names.near_forms(forms, spark.createDataFrame([], "form string, to string")).collect()}
+    assert got == {("robret sinifa", "robert sinifa"), ("leonrad pojusto", "leonard pojusto")}
+
+
+def test_a_tie_of_near_forms_links_nobody(spark):
+    tie = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.9), ("d", "b", 0.95), ("d", "c", 0.9)], "form string, to string, score double")
+    assert [tuple(r) for r in names.leading(tie).collect()] == [("d", "b")]
+
+
+def test_organisations_that_no_domain_attests(spark):
+    rows = [("kuroki systems", False), ("kuroki system", False), ("relali works", True), ("relali work", False), ("abc", False), ("abd", False)]
+    got = {tuple(r) for r in names.org_near(spark.createDataFrame(rows, "form string, attested boolean")).collect()}
+    assert got == {("kuroki systems", "kuroki system"), ("relali work", "relali works")}
