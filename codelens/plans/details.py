@@ -109,7 +109,7 @@ def par_5_node_tables(s, d):
 
 def par_7_cognitive(s, d):
     """PAR-7 and PAR-8: functions by cognitive complexity and nesting."""
-    return code._functions(s, d).groupBy("language", "nesting").agg(F.count("*").alias("functions"), F.max("cognitive").alias("max_cognitive"))
+    return code._measured(s, d).groupBy("language", "nesting").agg(F.count("*").alias("functions"), F.max("cognitive").alias("max_cognitive"))
 
 
 def par_12_test_ranges(s, d):
