@@ -15,7 +15,7 @@ from codelens.sources import tables as t
 def _defect(s, d):
     files = t.files(s, d)
     git = hp.agg_20_commits_contributors(s, d)
-    complexity = files.where("path % 3 > 0").select("path", "complexity")  # a third of the files lacks a measure: the estimate
+    complexity = files.select("path", "complexity")
     duplication = t.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.avg("l_discount").alias("duplication"))
     coupling = t.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg((F.count_distinct("l_suppkey") % 15).alias("coupling"))
     return q.defect_inputs(files, git, complexity, duplication, coupling)

@@ -152,3 +152,15 @@ def test_organisations_that_no_domain_attests(spark):
     rows = [("kuroki systems", False), ("kuroki system", False), ("relali works", True), ("relali work", False), ("abc", False), ("abd", False)]
     got = {tuple(r) for r in names.org_near(spark.createDataFrame(rows, "form string, attested boolean")).collect()}
     assert got == {("kuroki systems", "kuroki system"), ("relali work", "relali works")}
+
+
+def test_defect_inputs_keep_measured_complexity(spark):
+    from codelens.operators import quality
+    from tests.parity import DATA
+
+    assert Q["joi_2_defect_inputs"](spark, DATA).where("estimated").count() == 0
+    one = lambda k: spark.createDataFrame([], f"path int, {k}")
+    files = spark.createDataFrame([(1, 90), (2, 9000), (3, 90)], "path int, loc int")
+    known = spark.createDataFrame([(3, 7)], "path int, complexity int")
+    got = quality.defect_inputs(files, one("churn double, contributors int"), known, one("duplication double"), one("coupling int"))
+    assert {(r.path, r.estimated, r.complexity) for r in got.collect()} == {(1, True, 3.0), (2, True, 50.0), (3, False, 7.0)}
