@@ -183,8 +183,8 @@ QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0] in ("agg"
 
 _DEP = """with {rec} v as (select c_nationkey::bigint as src, s_nationkey::bigint as dst, sum(l_quantity) as v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all),
 r as (select *, row_number() over (partition by src order by v desc, dst) as r from v), e as (select distinct src, dst from r where r <= 3 and src <> dst), nd as (select src as node from e union select dst from e)"""
-_CALL = """with {rec} l as (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem), e as (select distinct src, dst from l where dst is not null and src % 7 = dst % 7 and src < dst + 400 and src <> dst), nd as (select src as node from e union select dst from e)"""
-_DEG = ", dg as (select node, (select count(*) from e where dst = node) as in_degree, (select count(*) from e where src = node) as out_degree from nd), di as (select *, coalesce(out_degree / nullif(in_degree + out_degree, 0)::double, 0) as instability from dg), sm as (select 'central_connector' as kind, 'high' as severity, node, null::bigint as other from di where in_degree > 5 and out_degree > 5 union all select 'hub', 'high', node, null from di where not (in_degree > 5 and out_degree > 5) and in_degree + out_degree > 14 and in_degree >= 3 union all select 'unstable_dependency', 'medium', src, dst from e join di a on a.node = src join di b on b.node = dst where a.instability < 0.3 and b.instability > 0.7 and b.instability - a.instability > 0.4)"
+_CALL = """with {rec} l as (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem), e as (select distinct src, dst from l where dst is not null and src <> dst), nd as (select src as node from e union select dst from e)"""
+_DEG = ", dg as (select node, count(*) filter (d = 1) as in_degree, count(*) filter (d = 0) as out_degree from (select src as node, 0 as d from e union all select dst, 1 from e) group by node), di as (select *, coalesce(out_degree / nullif(in_degree + out_degree, 0)::double, 0) as instability from dg), sm as (select 'central_connector' as kind, 'high' as severity, node, null::bigint as other from di where in_degree > 10 and out_degree > 10 union all select 'hub', 'high', node, null from di where not (in_degree > 10 and out_degree > 10) and in_degree + out_degree > 20 and in_degree >= 3 union all select 'unstable_dependency', 'medium', src, dst from e join di a on a.node = src join di b on b.node = dst where a.instability < 0.3 and b.instability > 0.7 and b.instability - a.instability > 0.4)"
 
 
 def _ranks(rounds: int) -> str:
@@ -196,18 +196,16 @@ def _ranks(rounds: int) -> str:
 
 _Y = r"""with y as (select distinct id, file_path as file, symbol_name as name, enriched_text from symbols), c0 as (select file || ':' || name as caller, file, name, unnest(regexp_extract_all(enriched_text, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) as callee from y), c as (select distinct caller, file, callee from c0 where callee <> name),
 qy as (select distinct file || ':' || name as q, name from y), ay as (select name, min(q) as q from qy group by name), rc as (select distinct caller, callee, coalesce(t1.q, t2.q, t3.q) as target, case when t1.q is not null then 1 when t2.q is not null then 2 else 3 end as tier from c left join qy t1 on t1.q = callee left join qy t2 on t2.q = file || ':' || callee left join ay t3 on t3.name = callee where coalesce(t1.q, t2.q, t3.q) is not null) """
-_BFS = ", b(root, node, level) as (select node, node, 0 from nd where node < 40 union select root, e.dst, level + 1 from b join e on e.src = b.node where level < {k}) select root, node, min(level) as level from b group by root, node having min(level) > 0"
+_BFS = ", b(root, node, level) as (select node, node, 0 from nd where node % 50 = 0 union select root, e.dst, level + 1 from b join e on e.src = b.node where level < {k}) select root, node, min(level) as level from b group by root, node having min(level) > 0"
 
 SQL = {
     "gra_1_dependencies": _DEP.format(rec="") + "select src, dst from e",
     "gra_1_calls": _CALL.format(rec="") + "select src, dst from e",
     "gra_2_pagerank": _DEP.format(rec="") + _ranks(20) + "select node, round(rank, 4) as rank from p20",
-    "gra_2_call_rank": _CALL.format(rec="") + _ranks(5) + "select node, round(rank * 1000, 4) as rank from p5",
     "gra_4_cycles": _DEP.format(rec="recursive") + ", rc(a, b) as (select src, dst from e union select rc.a, e.dst from rc join e on e.src = rc.b), m as (select x.a, x.b from rc x join rc y on x.a = y.b and x.b = y.a) select a as node, max(b) as component from m group by a having count(*) > 1",
-    "gra_5_components": _CALL.format(rec="recursive") + ", u as (select src as a, dst as b from e where abs(src - dst) < 30 union select dst, src from e where abs(src - dst) < 30), cc(node, low) as (select distinct a, a from u union select u.b, cc.low from cc join u on u.a = cc.node) select node, min(low) as component from cc group by node",
     "gra_6_callers": _CALL.format(rec="recursive") + _BFS.format(k=3),
     "gra_6_callees": _CALL.format(rec="recursive").replace("e as (select distinct src, dst from l", "e as (select distinct dst as src, src as dst from l") + _BFS.format(k=2),
-    "gra_7_reachability": _CALL.format(rec="recursive").replace("and src <> dst)", "and src <> dst and abs(src - dst) < 60)") + ", b(node) as (select node from nd where node % 50 = 0 union select e.dst from b join e on e.src = b.node) select node from b",
+    "gra_7_reachability": _CALL.format(rec="recursive") + ", b(node) as (select node from nd where node % 50 = 0 union select e.dst from b join e on e.src = b.node) select node from b",
     "gra_8_inheritance": "with recursive p as (select p_partkey as node, p_partkey // 7 as parent from part), b(node, depth) as (select node, 0 from p where node = 0 union select p.node, depth + 1 from b join p on p.parent = b.node and p.node > 0) select b.node, min(depth) as depth, (select count(*) from p where parent = b.node and p.node > 0) as children from b group by b.node",
     "agg_19_coupling": _CALL.format(rec="") + "select node, (select count(*) from e where dst = node) as afferent, (select count(*) from e where src = node) as efferent from nd",
     "gra_9_smells": _CALL.format(rec="") + _DEG + "select * from sm",

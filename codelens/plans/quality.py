@@ -153,7 +153,7 @@ def _cdf(x: str, table) -> str:
 
 _DEFECT = CTE + """, gi as (select path, least(commits / 20.0::double, 1) as churn, authors as contributors from ch),
 du as (select l_partkey as path, avg(l_discount) as duplication, count(distinct l_suppkey) % 15 as coupling from lineitem group by 1),
-di as (select fi.path, loc, coalesce(round(churn, 6), 0) as churn, coalesce(contributors, 1) as contributors, fi.path % 3 = 0 as estimated, case when fi.path % 3 > 0 then complexity::double else least(loc / 30.0::double, 50) end as complexity, coalesce(duplication, 0) as duplication, coalesce(coupling, 0) as coupling
+di as (select fi.path, loc, coalesce(round(churn, 6), 0) as churn, coalesce(contributors, 1) as contributors, complexity is null as estimated, coalesce(complexity::double, least(loc / 30.0::double, 50)) as complexity, coalesce(duplication, 0) as duplication, coalesce(coupling, 0) as coupling
   from fi left join gi using (path) left join du using (path)),
 dp as (select path, 1 / (1 + exp(-10 * (""" + f"0.30::double * ({_cdf('churn', q.CDF['churn'])}) + 0.25::double * least(greatest(duplication, 0), 1) + 0.20::double * ({_cdf('complexity', q.CDF['complexity'])}) + 0.10::double * ({_cdf('coupling', q.CDF['coupling'])}) + 0.15::double * ({_cdf('contributors', q.CDF['ownership'])})" + """ - 0.5::double))) as probability,
   case when loc < 10 then 0.5 when loc < 50 then 0.8 else 1.0::double end * case when churn = 0 then 0.85 else 1.0::double end * case when estimated then 0.85 else 1.0::double end as confidence from di),

@@ -105,7 +105,7 @@ def _hits(s, d):
 
 
 def joi_20_search_scores(s, d):
-    return _hits(s, d).groupBy("query").agg(F.count("*").alias("docs"), F.round(F.sum("score"), 4).alias("total"), F.max("score").alias("best"))
+    return _hits(s, d).groupBy("query").agg(F.count("*").alias("docs"), F.round(F.sum(F.col("score").cast("decimal(18,6)")), 4).cast("double").alias("total"), F.max("score").alias("best"))
 
 
 def srt_7_search(s, d):
@@ -164,14 +164,14 @@ SQL = {
     "par_9_code_lines": _S + _LOC + "select * from lc",
     "txt_12_flag_references": _S + ", f as (" + " union all ".join(f"select id, line_no, '{n}' as provider, unnest(regexp_extract_all(line, '{p.replace(chr(39), chr(39) * 2)}', 1)) as flag from li" for n, p in (x.FLAG_PROVIDERS | FLAG).items()) + ") select * from f",
     "txt_18_search_tokens": "with y as (select distinct id, signature from symbols where signature is not null), z as (select unnest(" + _TOKENS.format(x="signature") + ") as token from y) select token, count(*) as n from z group by token",
-    "txt_19_enriched": "select distinct id, '[' || file_path || '] ' || symbol_name || chr(10) || left(coalesce(signature, ''), 24) as text from symbols",
+    "txt_19_enriched": "select distinct id, '[' || file_path || '] ' || symbol_name || chr(10) || coalesce(list_aggregate(list_filter(list_transform(range(1, length(coalesce(signature, '')) + 1), lambda i: left(coalesce(signature, ''), i)), lambda y: strlen(y) <= 1500), 'last'), '') as text from symbols",
     "txt_21_lexical": _S + _TR + f", z as (select id, line_no, line, t, {_KW} + starts_with(t, 'case ')::int + len(regexp_extract_all(t, ' && ')) + len(regexp_extract_all(t, ' \\|\\| ')) as c, len(regexp_extract_all(t, '\\{{')) as o, len(regexp_extract_all(t, '\\}}')) as e from tl), s1 as (select *, sum(o - e) over (partition by id order by line_no) as sm from z), s2 as (select *, sm - least(0, min(sm) over (partition by id order by line_no)) as depth from s1), s3 as (select *, coalesce(lag(depth) over (partition by id order by line_no), 0) + o as d from s2) select id, count(*) as lines, (1 + sum(c))::bigint as cyclomatic, max(d)::bigint as nesting, count(*) filter (starts_with(t, 'use ') or starts_with(t, 'import ') or starts_with(t, 'from ') or starts_with(t, '#include ')) as imports, round(count(*) filter (starts_with(t, '//') or starts_with(t, '/*')) / count(*)::double, 6) as doc_coverage, round(coalesce(greatest(count(*) filter (starts_with(line, chr(9))), count(*) filter (starts_with(line, '  '))) / nullif(count(*) filter (starts_with(line, chr(9)) or starts_with(line, '  ')), 0)::double, 1), 6) as indent_share from s3 group by id",
     "txt_21_duplicate_lines": _S + _TR + ", k as (select id, t, count(*) as n from tl where t <> '' and not starts_with(t, '//') and not starts_with(t, '/*') group by all) select id, sum(n)::bigint as lines, round(case when sum(n) < 3 then 0 else coalesce(sum(n - 1) filter (strlen(t) > 10 and n > 1), 0) / sum(n)::double end, 6) as dup_ratio from k group by id",
     "txt_22_critical_patterns": _S + r"select id, len(regexp_extract_all(enriched_text, '\.unwrap\(\)|panic!?\(|\beval\(|\bexec\(|\bsystem\(|System\.exit\(|console\.log\(|println!\(')) as hits from sy where hits > 0",
     "txt_23_names_and_paths": r"select distinct symbol_name, file_path, lower(regexp_replace(regexp_replace(symbol_name, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) as snake, array_to_string(string_split(file_path, '/')[:-3], '/') || case when len(string_split(file_path, '/')) > 2 then '/' else '' end || 'x' as path, true as outside from symbols",
     "agg_39_vocabulary": _IDX + "select term, df, round(idf, 6) as idf from idf",
     "agg_40_weights": _IDX + "select doc, count(*) as terms, round(sum(w), 5) as sum_w, round(max(w), 5) as max_w from ww group by doc",
-    "joi_20_search_scores": _SEARCH + "select query, count(*) as docs, round(sum(score), 4) as total, max(score) as best from ht group by query",
+    "joi_20_search_scores": _SEARCH + "select query, count(*) as docs, round(sum(score::decimal(18, 6)), 4)::double as total, max(score) as best from ht group by query",
     "srt_7_search": _SEARCH + _BEST.format(src="ht", k3=30, k=10, cond="score >= 0.05 and (complexity is null or complexity <= 8)"),
     "fil_10_search_in_files": _SEARCH + _BEST.format(src="(select * from ht where file like '%.go')", k3=15, k=5, cond="score >= 0"),
     "srt_8_suggestions": "select distinct symbol_name from symbols where contains(lower(symbol_name), 'load') or contains('load', lower(symbol_name)) order by symbol_name limit 10",
