@@ -6,14 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges into which an order is cut for running sums; balance depends on it, never the result.
+RANGES = 128
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """`df` with, for each name of `sums`, the sum of its column over all rows of the same keys up to and including this one in
+    the given order, which must be total within the keys, and with `<name>_all`, the sum over all rows of the keys.
+
+    No group is gathered in one task, however large: the order is cut into ranges at the values with the least hashes (a uniform
+    sample that is the same however often the plan is run), sums of ranges are combined on the map side, and rows are sorted
+    within (keys, range) only. A group has at most RANGES + 1 sums, so the window over them is bounded. Null keys are a group.
+    """
+    at = F.struct(*order)
+    few = df.select(at.alias("__at")).orderBy(F.xxhash64(*[F.col(f"__at.{c}") for c in order]), "__at").limit(RANGES)
+    ends = few.agg(F.array_sort(F.collect_set("__at")).alias("__ends"))  # RANGES rows at most
+    x = df.join(F.broadcast(ends)).withColumn("__range", F.size(F.filter("__ends", lambda e: e < at))).drop("__ends")
+    x = x.select("*", *[v.alias(f"__{n}") for n, v in sums.items()])
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    before = by.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    t = x.groupBy(*keys, "__range").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
+    t = t.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("__range").alias("__at_range"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums], *[F.sum(f"__{n}").over(by).alias(f"{n}_all") for n in sums])
+    local = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    y = x.select("*", *[F.sum(f"__{n}").over(local).alias(n) for n in sums])
+    on = F.col("__range") == F.col("__at_range")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    j = y.join(t if keys else F.broadcast(t), on)
+    return j.select(*df.columns, *[(F.col(n) + F.col(f"__before_{n}")).alias(n) for n in sums], *[f"{n}_all" for n in sums])
+
+
+def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
+    h = df.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    return running(h, keys, ["v"], {"upto": F.col("c")}).withColumnRenamed("upto_all", "n")
+
+
 def histogram(df: DataFrame, value: str) -> DataFrame:
-    """(v, c, upto, n): each distinct value, its count, the count of values up to it, and of all.
+    """(v, c, upto, n): each distinct value but null, its count, the count of values up to it, and of all.
 
-    Rows are counted per value with map-side combine first; only distinct values reach the ordered window.
+    Rows are counted per value with map-side combine first; distinct values are ranked within ranges (`running`).
     """
-    h = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("v")
-    return h.select("v", "c", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    return _counted(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), [])
 
 
 def percentiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
@@ -26,15 +59,13 @@ def percentiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFram
 def percentile_of_each(df: DataFrame, values: dict[str, Column], p: float) -> DataFrame:
     """One row: for each named value what `percentiles` gives, all counted and ranked in one pass."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("double").alias("v")) for k, v in values.items()])).alias("x")).select("x.*")
-    h = long.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("k").orderBy("v")
-    h = h.select("k", "v", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    h = _counted(long.where("v is not null"), ["k"])
     hit = F.col("upto") >= F.round(F.lit(p) * (F.col("n") - 1)) + 1
     return h.agg(*[F.coalesce(F.min(F.when((F.col("k") == k) & hit, F.col("v"))), F.lit(0.0)).alias(k) for k in values])
 
 
 def mid_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """`df` with 100 * (below + 0.5 * equal) / n of the value among all rows (WIN-1)."""
+    """`df` with 100 * (below + 0.5 * equal) / n of the value among all rows that have one (WIN-1); others are left out."""
     h = histogram(df, value).select(F.col("v").alias(value), (100 * (F.col("upto") - F.col("c") + 0.5 * F.col("c")) / F.col("n")).alias(name))
     return df.join(h, value)
 

@@ -79,13 +79,13 @@ def blame_helpers(blame: DataFrame) -> DataFrame:
     """SRC-13: contributors above 5 percent, primary owner (ties by name), ownership ratio."""
     b = blame_shares(blame)
     return b.groupBy("path").agg(
-        F.count_if(F.col("percentage") > 5).alias("significant"), F.max_by("author", F.struct(F.col("lines"), -F.col("author"))).alias("owner"), (F.max("percentage") / 100).alias("ratio"))
+        F.count_if(F.col("percentage") > 5).alias("significant"), F.min_by("author", F.struct(-F.col("lines"), F.col("author"))).alias("owner"), (F.max("percentage") / 100).alias("ratio"))
 
 
 def ownership(blame: DataFrame) -> DataFrame:
     """AGG-22: primary owner, concentration (1 for a single author), silo, risk."""
     o = blame_shares(blame).groupBy("path").agg(
-        F.max_by("author", F.struct(F.col("lines"), -F.col("author"))).alias("owner"), F.max("percentage").alias("top"), F.count("*").alias("contributors"), F.sum("lines").alias("total_lines"))
+        F.min_by("author", F.struct(-F.col("lines"), F.col("author"))).alias("owner"), F.max("percentage").alias("top"), F.count("*").alias("contributors"), F.sum("lines").alias("total_lines"))
     conc = F.when(F.col("contributors") == 1, 1.0).otherwise(F.col("top") / 100)
     risk = F.when((F.col("contributors") == 1) | (conc >= 0.8), "high").when((conc >= 0.6) | (F.col("contributors") <= 2), "medium").otherwise("low")
     return o.select("path", "owner", conc.alias("concentration"), "contributors", "total_lines", (F.col("contributors") == 1).alias("silo"), risk.alias("risk"))
@@ -96,10 +96,14 @@ def bus_factor(blame: DataFrame) -> DataFrame:
 
     Authors' totals are aggregated first; the running sum sees one row per author.
     """
-    a = blame.groupBy("author").agg(F.sum("lines").alias("lines"))
-    w = Window.orderBy(F.desc("lines"), "author")
-    r = a.select(F.row_number().over(w).alias("rank"), F.sum("lines").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), F.sum("lines").over(Window.partitionBy()).alias("total"))
-    return r.agg(F.coalesce(F.min(F.when(F.col("cum") >= F.floor(F.col("total") / 2), F.col("rank"))), F.lit(0)).cast("bigint").alias("bus_factor"))
+    r = cumulative_lines(blame)
+    return r.agg(F.coalesce(F.min(F.when(F.col("cum") >= F.floor(F.col("cum_all") / 2), F.col("rank"))), F.lit(0)).cast("bigint").alias("bus_factor"))
+
+
+def cumulative_lines(blame: DataFrame) -> DataFrame:
+    """WIN-6: (author, lines, rank, cum, cum_all, ...): authors' lines added up from the greatest on, equals by name."""
+    a = blame.groupBy("author").agg(F.sum("lines").alias("lines")).withColumn("less", -F.col("lines"))
+    return stats.running(a, [], ["less", "author"], {"rank": F.lit(1), "cum": F.col("lines")})
 
 
 def top_owners(owned: DataFrame, k: int = 5) -> DataFrame:
@@ -145,17 +149,25 @@ def entropy(changes: DataFrame) -> DataFrame:
 def prior_state(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """WIN-2 to WIN-5: author experience, earlier touches and earlier authors of the touched files, in order of (ts, sha).
 
-    Running counts are windows by author and by path; earlier authors come from each author's first touch of a path.
+    Running counts (`stats.running`, so neither a busy path nor a busy author is one task's work) give earlier touches and earlier
+    authors of each path. A commit of one path needs no more. Of several, the path with most earlier authors counts as it is; only
+    authors of the commit's other paths are enumerated and those the first path has seen already left out: a hot path is never
+    joined with its own touches.
     """
-    seq = F.struct("ts", "sha")
-    exp = commits.select("sha", (F.row_number().over(Window.partitionBy("author").orderBy("ts", "sha")) - 1).alias("experience"))
+    order = ["ts", "sha"]
+    exp = stats.running(commits.select("sha", "author", "ts"), ["author"], order, {"experience": F.lit(1)}).select("sha", (F.col("experience") - 1).alias("experience"))
     t = changes.select("sha", "path").distinct().join(commits.select("sha", "author", "ts"), "sha")
-    touched = t.withColumn("before", F.row_number().over(Window.partitionBy("path").orderBy("ts", "sha")) - 1)
-    nuc = touched.groupBy("sha").agg(F.sum("before").alias("unique_changes"))
-    first = t.groupBy("path", "author").agg(F.min(seq).alias("first"))
-    ndev = t.select("sha", "path", seq.alias("seq")).join(first, "path").where(F.col("first") < F.col("seq")).groupBy("sha").agg(F.count_distinct("author").alias("num_developers"))
-    out = exp.join(nuc, "sha", "left").join(ndev, "sha", "left")
-    return out.fillna(0, ["unique_changes", "num_developers"])
+    first = t.groupBy("path", "author").agg(F.min(F.struct(*order)).alias("first"))
+    fresh = first.select("path", "first.sha", F.lit(1).alias("fresh"))
+    t = t.join(fresh, ["path", "sha"], "left").fillna(0, ["fresh"])
+    t = cut(stats.running(t, ["path"], order, {"touches": F.lit(1), "authors": F.col("fresh")}).withColumn("authors", F.col("authors") - F.col("fresh")))
+    main = t.groupBy("sha").agg(F.sum(F.col("touches") - 1).alias("unique_changes"), F.max(F.struct("authors", "path")).alias("most"))
+    rest = t.join(main.select("sha", F.col("most.path").alias("main")), "sha").where("path <> main and authors > 0").select("sha", "path", "main", F.struct(*order).alias("seq"))
+    more = rest.join(first, "path").where(F.col("first") < F.col("seq")).select("sha", "main", "seq", "author").distinct()
+    seen = first.select(F.col("path").alias("main"), "author", F.col("first").alias("seen"))
+    more = more.join(seen, ["main", "author"], "left").where(F.col("seen").isNull() | (F.col("seen") >= F.col("seq"))).groupBy("sha").agg(F.count("*").alias("more"))
+    own = main.join(more, "sha", "left").select("sha", "unique_changes", (F.col("most.authors") + F.coalesce("more", F.lit(0))).alias("num_developers"))
+    return exp.join(own, "sha", "left").fillna(0, ["unique_changes", "num_developers"])
 
 
 def commit_features(commits: DataFrame, changes: DataFrame, files: DataFrame, owned: DataFrame) -> DataFrame:

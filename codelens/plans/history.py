@@ -9,14 +9,15 @@ from codelens.sources import tables as t
 from codelens.sources.checkpoints import cut
 
 CTE = """
-with cm as (select o_orderkey as sha, o_custkey as author, o_orderdate as ts, o_orderpriority as message, o_orderstatus as status from orders),
-fc as (select l_orderkey as sha, l_partkey as path, sum(l_quantity)::bigint as additions, sum(round(l_tax * 100))::bigint as deletions from lineitem group by all),
-fi as (select p_partkey as path, p_size as complexity, (100 + p_size * 10)::bigint as loc, p_type as language, p_brand as component from part),
-bl as (select l_orderkey as path, l_suppkey as author, sum(l_quantity)::bigint as lines, min(l_shipdate) as first_ts, max(l_shipdate) as last_ts from lineitem group by all),
+with cm as (select sha, coalesce(nullif(trim(x.author, ' '), ''), '(none)') as author, x.ts as ts, x.message as message, length(coalesce(x.message, ''))::double as size, case when starts_with(x.message, 'Merge') then 'merge' when starts_with(x.message, 'fix') then 'fix' else 'other' end as status
+  from (select sha, arg_min({'author': author, 'ts': ts, 'message': message}, ingested_at) as x from commits group by sha)),
+fc as (select sha, path, sum(coalesce(additions, 0))::bigint as additions, sum(coalesce(deletions, 0))::bigint as deletions from (select distinct * from file_changes where path is not null) group by all),
+fi as (select file_path as path, sum(c)::bigint as complexity, max(e)::bigint as loc, string_split(file_path, '.')[-1] as language, split_part(file_path, '/', 1) as component from (select file_path, symbol_name, max(cyclomatic_complexity) as c, max(end_line) as e from symbols group by all) group by file_path),
+bl as (select path, author, sum(additions)::bigint as lines, min(ts) as first_ts, max(ts) as last_ts from fc join cm using (sha) group by all),
 ch as (select path, count(*) as commits, count(distinct author) as authors, sum(additions)::bigint as additions, sum(deletions)::bigint as deletions, min(ts) as first_ts, max(ts) as last_ts from fc join cm using (sha) group by path),
 cs as (select *, 0.6 * least(commits / (max(commits) over ())::double, 1) + 0.4 * least((additions + deletions) / (max(additions + deletions) over ())::double, 1) as churn_score from ch),
 bt as (select path, sum(lines) as total from bl group by path),
-bs as (select bl.*, total, 100 * lines / total::double as percentage from bl join bt using (path)),
+bs as (select bl.*, total, coalesce(100 * lines / nullif(total, 0)::double, 0) as percentage from bl join bt using (path)),
 ow0 as (select path, first(author order by lines desc, author) as owner, max(percentage) as top, count(*) as contributors, sum(lines)::bigint as total_lines from bs group by path),
 ow1 as (select path, owner, case when contributors = 1 then 1.0::double else top / 100 end as concentration, contributors, total_lines from ow0),
 ow as (select *, contributors = 1 as silo, case when contributors = 1 or concentration >= 0.8 then 'high' when concentration >= 0.6 or contributors <= 2 then 'medium' else 'low' end as risk from ow1)
@@ -83,11 +84,7 @@ def agg_23_bus_factor(s, d):
 
 def win_6_cumulative_lines(s, d):
     """WIN-6: lines of authors in order, added up."""
-    from pyspark.sql import Window
-
-    a = t.blame(s, d).groupBy("author").agg(F.sum("lines").alias("lines"))
-    w = Window.orderBy(F.desc("lines"), "author").rowsBetween(Window.unboundedPreceding, 0)
-    return a.select("author", "lines", F.sum("lines").over(w).alias("running"))
+    return h.cumulative_lines(t.blame(s, d)).select("author", "lines", F.col("cum").alias("running"))
 
 
 def agg_24_top_owners(s, d):
@@ -130,9 +127,7 @@ def win_2_prior_state(s, d):
 
 
 def _features(s, d):
-    # line authorship per part stands for the owners of the files of a commit
-    lines = t.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author")).agg(F.sum("l_quantity").cast("bigint").alias("lines"), F.min("l_shipdate").alias("first_ts"), F.max("l_shipdate").alias("last_ts"))
-    return h.commit_features(t.commits(s, d), t.file_changes(s, d), t.files(s, d), h.ownership(lines))
+    return h.commit_features(t.commits(s, d), t.file_changes(s, d), t.files(s, d), h.ownership(t.blame(s, d)))
 
 
 def agg_12_commit_features(s, d):
@@ -183,7 +178,7 @@ def agg_20_commits_contributors(s, d):
 
 def fil_3_time_window(s, d):
     """FIL-3 and INC-3: commits of the last days before a date, the latest first, cut to a number (months have 30 days)."""
-    c = t.commits(s, d).where(F.col("ts") >= F.date_sub(F.lit("2001-08-01").cast("date"), 180).cast("timestamp"))
+    c = t.commits(s, d).where(F.col("ts") >= F.date_sub(F.lit("2025-06-01").cast("date"), 180).cast("timestamp"))
     return c.orderBy(F.desc("ts"), F.desc("sha")).limit(500).select("sha", "author", "ts")
 
 
@@ -194,7 +189,7 @@ def joi_5_analysed_files(s, d):
 
 def src_11_path_history(s, d):
     """SRC-11: commits and authors of chosen paths only."""
-    chosen = t.files(s, d).where("language = 'PROMO'").select("path")
+    chosen = t.files(s, d).where("language = 'rs'").select("path")
     j = t.file_changes(s, d).join(chosen, "path", "left_semi").join(t.commits(s, d).select("sha", "author"), "sha")
     return j.groupBy("path").agg(F.count_distinct("sha").alias("commits"), F.count_distinct("author").alias("authors"))
 
@@ -225,7 +220,7 @@ QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0] in ("agg"
 
 _HOT = """, hc as (select path, round(sum(1 + (additions + deletions) / 100.0::double), 6) as churn, count(*) as commits from fc group by path),
 hp as (select *, 100 * (rank() over (order by churn) - 1 + 0.5 * count(*) over (partition by churn)) / (count(*) over ())::double as churn_pct from hc),
-xp as (select path, complexity, 100 * (rank() over (order by complexity) - 1 + 0.5 * count(*) over (partition by complexity)) / (count(*) over ())::double as complexity_pct from fi),
+xp as (select path, complexity, 100 * (rank() over (order by complexity) - 1 + 0.5 * count(*) over (partition by complexity)) / (count(*) over ())::double as complexity_pct from fi where complexity is not null),
 hs as (select path, commits, complexity, churn, churn_pct, complexity_pct, churn_pct / 100 * complexity_pct / 100 as score from hp join xp using (path) where churn_pct >= 50 and complexity_pct >= 50),
 hot as (select path, commits, complexity, case when score >= 0.81 then 'critical' when score >= 0.64 then 'high' when score >= 0.36 then 'moderate' else 'low' end as severity,
   round(churn, 6) as churn, round(churn_pct, 6) as churn_pct, round(complexity_pct, 6) as complexity_pct, round(score, 6) as score from hs)"""
@@ -242,17 +237,16 @@ nu as (select sha, sum(before)::bigint as unique_changes from tc group by sha),
 ft as (select path, author, min(row(ts, sha)) as first from tc group by all),
 nd as (select tc.sha, count(distinct ft.author) as num_developers from tc join ft on ft.path = tc.path and ft.first < row(tc.ts, tc.sha) group by tc.sha),
 tm as (select path, count(distinct sha) as touches from fc group by path), tn as (select path, touches / (max(touches) over ())::double as churn from tm),
-pl as (select l_partkey as path, l_suppkey as author, sum(l_quantity) as lines from lineitem group by all),
-po as (select path, case when count(*) = 1 then 0 else 1 - max(lines) / sum(lines) end as diffusion from pl group by path),
+po as (select path, case when count(*) = 1 then 0 else 1 - coalesce(max(lines) / nullif(sum(lines), 0)::double, 0) end as diffusion from bl group by path),
 fr as (select fc.sha, max(churn) as file_churn, coalesce(max(complexity), 0)::double as file_complexity, coalesce(max(diffusion), 0) as ownership_diffusion from fc join tn using (path) left join fi using (path) left join po using (path) group by fc.sha),
-fe as (select cm.sha, message, lines_added, lines_deleted, num_files, coalesce(unique_changes, 0) as unique_changes, coalesce(num_developers, 0) as num_developers, experience, coalesce(entropy, 0) as entropy, file_churn, file_complexity, ownership_diffusion
-  from cm join sz using (sha) left join en using (sha) join ex using (sha) left join nu using (sha) left join nd using (sha) join fr using (sha))"""
+fe as (select cm.sha, coalesce(regexp_matches(message, '{fix}'), false) as is_fix, coalesce(regexp_matches(message, '{auto}'), false) as is_automated, lines_added, lines_deleted, num_files, coalesce(unique_changes, 0) as unique_changes, coalesce(num_developers, 0) as num_developers, experience, coalesce(entropy, 0) as entropy, file_churn, file_complexity, ownership_diffusion
+  from cm join sz using (sha) left join en using (sha) join ex using (sha) left join nu using (sha) left join nd using (sha) join fr using (sha))""".replace("{fix}", h.FIX.replace("'", "''")).replace("{auto}", h.AUTOMATED.replace("'", "''"))
 _P = lambda c, name: f"greatest((list(round({c}::double, 6) order by {c}))[(round(0.95 * (count(*) - 1)) + 1)::int], 1.0) as {name}"
 _NORM = ", nm as (select " + ", ".join(_P(c, f"max_{c}") for c in [*h.P95, "file_complexity"]) + ", 1.0::double as max_file_churn from fe)"
 _N = lambda c: f"case when max_{c} <= 0 then 0 when {c} >= max_{c} then 1 else {c} / max_{c}::double end"
 _W = h.RISK_WEIGHTS
-_FACTORS = {k: f"({_N(k)}) * {_W[k]}::double" for k in ("lines_added", "entropy", "lines_deleted", "num_files", "unique_changes", "num_developers", "file_churn", "file_complexity")} | {"fix": "0.0::double", "experience": f"(1 - ({_N('experience')})) * 0.05::double", "ownership_diffusion": "ownership_diffusion * 0.07::double"}
-_RISK = ", rk0 as (select *, round(greatest(0, least(1, " + " + ".join(_FACTORS.values()) + ")), 6) as risk from fe cross join nm), th as (select (list(risk order by risk))[(round(0.95 * (count(*) - 1)) + 1)::int] as p95, (list(risk order by risk))[(round(0.8 * (count(*) - 1)) + 1)::int] as p80 from rk0), rk as (select rk0.*, case when risk >= p95 then 'high' when risk >= p80 then 'medium' else 'low' end as level from rk0 cross join th)"
+_FACTORS = {k: f"({_N(k)}) * {_W[k]}::double" for k in ("lines_added", "entropy", "lines_deleted", "num_files", "unique_changes", "num_developers", "file_churn", "file_complexity")} | {"fix": "case when is_fix then 0.12 else 0.0::double end", "experience": f"(1 - ({_N('experience')})) * 0.05::double", "ownership_diffusion": "ownership_diffusion * 0.07::double"}
+_RISK = ", rk0 as (select *, round(case when is_automated then 0.05 else greatest(0, least(1, " + " + ".join(_FACTORS.values()) + ")) end, 6) as risk from fe cross join nm), th as (select (list(risk order by risk))[(round(0.95 * (count(*) - 1)) + 1)::int] as p95, (list(risk order by risk))[(round(0.8 * (count(*) - 1)) + 1)::int] as p80 from rk0), rk as (select rk0.*, case when risk >= p95 then 'high' when risk >= p80 then 'medium' else 'low' end as level from rk0 cross join th)"
 _RE = lambda p: p.replace("'", "''")
 _FLAGS = "with rf as (select event_type as flag, user_id as file, ts from events), ro as (select flag, count(distinct file) as files, count(*) as \"references\", min(ts) as first_seen, max(ts) as last_seen, floor((epoch(timestamp '2024-02-15') - floor(epoch(min(ts)))) / 86400)::bigint as age_days from rf group by flag), rs as (select *, age_days > 14 as stale from ro)"
 
@@ -275,8 +269,8 @@ SQL = {
     "agg_24_ownership_summary": CTE + "select count(*) as files, count(*) filter (silo) as silos, count(*) filter (risk = 'high') as high_risk, count(*) filter (risk = 'medium') as medium_risk, count(*) filter (risk = 'low') as low_risk, round(avg(contributors), 6) as mean_contributors, round(avg(concentration), 6) as mean_concentration from ow",
     "joi_1_hotspot": CTE + _HOT + "select * from hot",
     "hotspot_join": CTE + _HOT + "select * from hot order by score desc, path",
-    "win_1_mid_rank": CTE + "select path, complexity, round(100 * (rank() over (order by complexity) - 1 + 0.5 * count(*) over (partition by complexity)) / (count(*) over ())::double, 6) as pct from fi",
-    "agg_7_percentiles": CTE + "select " + ", ".join(f"(list(complexity order by complexity))[(round({p} * (count(*) - 1)) + 1)::int] as {n}" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + " from fi",
+    "win_1_mid_rank": CTE + "select path, complexity, round(100 * (rank() over (order by complexity) - 1 + 0.5 * count(*) over (partition by complexity)) / (count(*) over ())::double, 6) as pct from fi where complexity is not null",
+    "agg_7_percentiles": CTE + "select " + ", ".join(f"(list(complexity order by complexity))[(round({p} * (count(*) - 1)) + 1)::int] as {n}" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + " from fi where complexity is not null",
     "agg_8_entropy": CTE + _FEATURES + "select sha, round(entropy, 6) as entropy from en",
     "win_2_prior_state": CTE + _FEATURES + "select ex.sha, experience, coalesce(unique_changes, 0) as unique_changes, coalesce(num_developers, 0) as num_developers from ex left join nu using (sha) left join nd using (sha)",
     "agg_12_commit_features": CTE + _FEATURES + "select sha, lines_added, lines_deleted, num_files, unique_changes, num_developers, experience, round(entropy, 6) as entropy, round(file_churn, 6) as file_churn, round(file_complexity, 6) as file_complexity, round(ownership_diffusion, 6) as ownership_diffusion from fe",
@@ -287,9 +281,9 @@ SQL = {
     "agg_41_flag_rollup": _FLAGS + " select * from rs",
     "joi_18_flag_priority": _FLAGS + ", m as (select flag, max(p_size) as max_complexity from (select distinct flag, file from rf) join part on p_partkey = file group by flag) select rs.*, coalesce(max_complexity, 0) as max_complexity, case when coalesce(max_complexity, 0) >= 50 then 'critical' when max_complexity >= 20 then 'high' when max_complexity >= 10 then 'medium' else 'low' end as priority from rs left join m using (flag)",
     "agg_20_commits_contributors": CTE + "select path, commits, authors as contributors, round(least(commits / 20.0::double, 1), 6) as churn from ch",
-    "fil_3_time_window": CTE + "select sha, author, ts from cm where ts >= date '2001-08-01' - 180 order by ts desc, sha desc limit 500",
+    "fil_3_time_window": CTE + "select sha, author, ts from cm where ts >= date '2025-06-01' - 180 order by ts desc, sha desc limit 500",
     "joi_5_analysed_files": CTE + "select path, commits from ch where path in (select path from fi where complexity > 25)",
-    "src_11_path_history": CTE + "select path, count(distinct sha) as commits, count(distinct author) as authors from fc join cm using (sha) where path in (select path from fi where language = 'PROMO') group by path",
+    "src_11_path_history": CTE + "select path, count(distinct sha) as commits, count(distinct author) as authors from fc join cm using (sha) where path in (select path from fi where language = 'rs') group by path",
     "src_15_commit_stats": CTE + "select cm.sha, count(path) as files, coalesce(sum(additions), 0)::bigint as additions, coalesce(sum(deletions), 0)::bigint as deletions from cm left join fc using (sha) group by cm.sha",
     "fil_7_bug_fix_commits": f"select distinct sha from commits where regexp_matches(message, '{_RE(h.FIX)}')",
     "fil_8_automated_commits": f"select distinct sha from commits where regexp_matches(message, '{_RE(h.AUTOMATED)}')",
@@ -297,7 +291,7 @@ SQL = {
 }
 SQL["agg_13_recommendations"] = (
     CTE + _FEATURES + _NORM + _RISK + f""", fx as (select *, {", ".join(f"round({v}, 6) as f_{k}" for k, v in sorted(_FACTORS.items()))} from rk)
-select sha, risk, level, coalesce(nullif(array_to_string(list_filter([case when f_entropy > 0.15 then 'entropy' end, case when f_lines_added > 0.15 then 'large' end, case when f_num_files > 0.08 then 'many_files' end, case when f_experience > 0.04 then 'inexperienced' end,
+select sha, risk, level, coalesce(nullif(array_to_string(list_filter([case when is_fix then 'fix' end, case when f_entropy > 0.15 then 'entropy' end, case when f_lines_added > 0.15 then 'large' end, case when f_num_files > 0.08 then 'many_files' end, case when f_experience > 0.04 then 'inexperienced' end,
  case when file_complexity > 10 then 'complex' end, case when file_churn > 0.7 then 'volatile' end, case when ownership_diffusion > 0.7 then 'diffuse' end, case when risk >= 0.7 then 'high_risk' end, case when risk >= 0.5 and risk < 0.7 then 'elevated' end], lambda x: x is not null), ','), ''), 'low_risk') as recommendations,
  (list_max([{", ".join(f"{{'v': f_{k}, 'k': '{k}'}}" for k in sorted(_FACTORS))}])).k as top_factor, (list_max([{", ".join(f"{{'v': f_{k}, 'k': '{k}'}}" for k in sorted(_FACTORS))}])).v as top_value from fx"""
 )

@@ -8,6 +8,7 @@ from codelens.functions import stats
 from codelens.operators import history as h
 from codelens.operators import quality as q
 from codelens.plans import history as hp
+from codelens.plans import text as xp
 from codelens.plans.history import CTE, SIX
 from codelens.sources import tables as t
 
@@ -15,10 +16,20 @@ from codelens.sources import tables as t
 def _defect(s, d):
     files = t.files(s, d)
     git = hp.agg_20_commits_contributors(s, d)
-    complexity = files.select("path", "complexity")
-    duplication = t.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.avg("l_discount").alias("duplication"))
-    coupling = t.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg((F.count_distinct("l_suppkey") % 15).alias("coupling"))
-    return q.defect_inputs(files, git, complexity, duplication, coupling)
+    coupling = _partners(s, d).select("path", F.col("cochanges").alias("coupling"))
+    return q.defect_inputs(files, git, files.select("path", "complexity"), _duplication(s, d), coupling)
+
+
+def _duplication(s, d):
+    """Share of a file's chunks whose content another chunk of the file has too."""
+    y = t.table(s, d, "symbols").where("content_hash is not null").select(F.col("file_path").alias("path"), "symbol_name", "chunk_index", "content_hash").distinct()
+    return y.groupBy("path").agg((1 - F.count_distinct("content_hash") / F.count("*")).alias("duplication"))
+
+
+def _partners(s, d):
+    """Files that changed together with each file twice or more."""
+    co = h.cochange(t.file_changes(s, d), 2)
+    return co.select(F.col("path_a").alias("path")).union(co.select("path_b")).groupBy("path").agg(F.count("*").alias("cochanges"))
 
 
 def joi_2_defect_inputs(s, d):
@@ -40,13 +51,14 @@ def agg_17_defect_summary(s, d):
 
 
 def _measures(s, d):
-    p = t.table(s, d, "part")
+    """The worst lexical measures of each file's symbols, with the file's hotspot score and co-changes where known."""
+    y = xp.txt_21_lexical(s, d).join(xp.txt_21_duplicate_lines(s, d).select("id", "dup_ratio"), "id", "left").join(xp.txt_22_critical_patterns(s, d), "id", "left")
+    paths = t.table(s, d, "symbols").select("id", F.col("file_path").alias("path")).distinct()
+    m = y.join(paths, "id").groupBy("path").agg(
+        F.sum("cyclomatic").alias("cyclomatic"), F.max("nesting").alias("nesting"), F.coalesce(F.max("dup_ratio"), F.lit(0.0)).alias("dup_ratio"), F.sum("imports").alias("imports"), F.max("doc_coverage").alias("doc_coverage"),
+        F.min("indent_share").alias("indent_share"), F.coalesce(F.max("hits"), F.lit(0)).alias("critical"))
     hot = hp.joi_1_hotspot(s, d).select("path", F.col("score").alias("hotspot"))
-    co = h.cochange(t.file_changes(s, d), 2)
-    co = co.select(F.col("path_a").alias("path")).union(co.select("path_b")).groupBy("path").agg(F.count("*").alias("cochanges"))
-    m = p.select(F.col("p_partkey").alias("path"), F.col("p_type").alias("language"), F.col("p_size").alias("cyclomatic"), (F.col("p_size") % 9).alias("nesting"), (F.col("p_partkey") % 10 / 20).alias("dup_ratio"), (F.col("p_partkey") % 60).alias("imports"),
-                 (F.col("p_size") / 50).alias("doc_coverage"), (1 - F.col("p_partkey") % 5 / 10).alias("indent_share"), F.when(F.col("p_partkey") % 97 == 0, 1).otherwise(0).alias("critical"))
-    return m.join(hot, "path", "left").join(co, "path", "left")
+    return m.withColumn("language", F.substring_index("path", ".", -1)).join(hot, "path", "left").join(_partners(s, d), "path", "left")
 
 
 def joi_3_tdg_parts(s, d):
@@ -151,18 +163,19 @@ def _cdf(x: str, table) -> str:
     return out + f" else {table[-1][1]}::double end"
 
 
-_DEFECT = CTE + """, gi as (select path, least(commits / 20.0::double, 1) as churn, authors as contributors from ch),
-du as (select l_partkey as path, avg(l_discount) as duplication, count(distinct l_suppkey) % 15 as coupling from lineitem group by 1),
-di as (select fi.path, loc, coalesce(round(churn, 6), 0) as churn, coalesce(contributors, 1) as contributors, complexity is null as estimated, coalesce(complexity::double, least(loc / 30.0::double, 50)) as complexity, coalesce(duplication, 0) as duplication, coalesce(coupling, 0) as coupling
-  from fi left join gi using (path) left join du using (path)),
+_DEFECT = CTE + hp._PAIRS.format(most=100, least=2) + """, cc as (select path, count(*) as cochanges from (select path_a as path from co union all select path_b from co) group by path), gi as (select path, least(commits / 20.0::double, 1) as churn, authors as contributors from ch),
+du as (select path, 1 - count(distinct content_hash) / count(*)::double as duplication from (select distinct file_path as path, symbol_name, chunk_index, content_hash from symbols where content_hash is not null) group by path),
+di as (select fi.path, loc, coalesce(round(churn, 6), 0) as churn, coalesce(contributors, 1) as contributors, complexity is null as estimated, coalesce(complexity::double, least(loc / 30.0::double, 50)) as complexity, coalesce(duplication, 0) as duplication, coalesce(cochanges, 0) as coupling
+  from fi left join gi using (path) left join du using (path) left join cc using (path)),
 dp as (select path, 1 / (1 + exp(-10 * (""" + f"0.30::double * ({_cdf('churn', q.CDF['churn'])}) + 0.25::double * least(greatest(duplication, 0), 1) + 0.20::double * ({_cdf('complexity', q.CDF['complexity'])}) + 0.10::double * ({_cdf('coupling', q.CDF['coupling'])}) + 0.15::double * ({_cdf('contributors', q.CDF['ownership'])})" + """ - 0.5::double))) as probability,
   case when loc < 10 then 0.5 when loc < 50 then 0.8 else 1.0::double end * case when churn = 0 then 0.85 else 1.0::double end * case when estimated then 0.85 else 1.0::double end as confidence from di),
 dr as (select *, case when probability >= 0.7 then 'high' when probability >= 0.3 then 'medium' else 'low' end as risk from dp) """
 _G = "case " + " ".join(f"when {{x}} >= {a} then '{b}'" for a, b in stats.GRADES) + " else 'F' end"
 _L = "case " + " ".join(f"when {{x}} >= {a} then '{b}'" for a, b in stats.LETTERS) + " else 'F' end"
 _TDG = CTE + hp._HOT + hp._PAIRS.format(most=100, least=2).replace(", one as", ", one as", 1) + """, cc as (select path, count(*) as cochanges from (select path_a as path from co union all select path_b from co) group by path),
-ms as (select p_partkey as path, p_type as language, p_size as cyclomatic, p_size % 9 as nesting, (p_partkey % 10) / 20.0::double as dup_ratio, p_partkey % 60 as imports, p_size / 50.0::double as doc_coverage, 1 - (p_partkey % 5) / 10.0::double as indent_share, case when p_partkey % 97 = 0 then 1 else 0 end as critical, hot.score as hotspot, cochanges
-  from part left join hot on hot.path = p_partkey left join cc on cc.path = p_partkey),
+lx as (""" + xp.SQL["txt_21_lexical"] + """), dl as (""" + xp.SQL["txt_21_duplicate_lines"] + """), cr as (""" + xp.SQL["txt_22_critical_patterns"] + """), pa as (select distinct id, file_path as path from symbols),
+me as (select path, sum(cyclomatic)::bigint as cyclomatic, max(nesting) as nesting, coalesce(max(dup_ratio), 0) as dup_ratio, sum(imports)::bigint as imports, max(doc_coverage) as doc_coverage, min(indent_share) as indent_share, coalesce(max(hits), 0) as critical from lx join pa using (id) left join dl using (id) left join cr using (id) group by path),
+ms as (select me.*, string_split(path, '.')[-1] as language, hot.score as hotspot, cochanges from me left join hot using (path) left join cc using (path)),
 tp as (select path, language, critical, 20 - case when cyclomatic > 30 then least(cyclomatic - 30, 15) * 0.5::double else 0 end as structural, 15 - case when nesting > 4 then least(nesting - 4, 10)::double else 0 end as semantic,
   15 - case when dup_ratio > 0.1 then least(20 * dup_ratio, 20) else 0 end as duplication, 15 - case when imports > 20 then least((imports - 20) * 0.2::double, 10) else 0 end as coupling, doc_coverage * 5 as documentation, indent_share * 10 as consistency,
   coalesce(10 * (1 - hotspot), 10) as hotspot, coalesce(10 * (1 - cochanges / (max(cochanges) over ())::double), 10) as temporal from ms),
@@ -198,9 +211,9 @@ SQL = {
     "agg_34_tdg_project": _TDG + f", p as (select language, count(*) as files, avg(total) as mean from tt group by language) select language, files, {_G.format(x='mean')} as grade, round(mean, 6) as mean from p",
     "agg_35_component_scores": _COMP + "select area, component, round(score, 6) as score from c",
     "agg_36_composite": _COMP + f", w as (select *, case when score is null then 0 else {_WCASE} end as w from c), a as (select area, coalesce(sum(score * w) / nullif(sum(w), 0), 100) as score, count(*) filter (score < 50) as critical, coalesce(string_agg(case when score is null then component end, ',' order by component), '') as skipped from w group by area) select area, {_L.format(x='score')} as grade, critical, skipped, round(score, 6) as score from a",
-    "agg_37_regression": CTE + f", m as (select strftime(ts, '%Y-%m') as month, max(size) as score from (select o_orderdate as ts, o_totalprice as size from orders) group by 1), r as (select *, row_number() over (order by month) - 1 as x from m) select {_REGR} from r",
-    "agg_38_component_trends": f"with m as (select o_orderstatus as status, strftime(o_orderdate, '%Y-%m') as month, max(o_totalprice) as score from orders group by all union all select distinct 'flat', strftime(o_orderdate, '%Y-%m'), 7.0::double from orders), r as (select *, row_number() over (partition by status order by month) - 1 as x from m) select status, {_REGR} from r group by status",
-    "win_10_regression_index": "with m as (select strftime(o_orderdate, '%Y-%m') as month, max(o_totalprice) as score from orders group by 1) select month, score, row_number() over (order by month) - 1 as x from m",
+    "agg_37_regression": CTE + f", m as (select strftime(ts, '%Y-%m') as month, max(size) as score from cm group by 1), r as (select *, row_number() over (order by month) - 1 as x from m) select {_REGR} from r",
+    "agg_38_component_trends": CTE + f", m as (select status, strftime(ts, '%Y-%m') as month, max(size) as score from cm group by all union all select distinct 'flat', strftime(ts, '%Y-%m'), 7.0::double from cm), r as (select *, row_number() over (partition by status order by month) - 1 as x from m) select status, {_REGR} from r group by status",
+    "win_10_regression_index": CTE + ", m as (select strftime(ts, '%Y-%m') as month, max(size) as score from cm group by 1) select month, score, row_number() over (order by month) - 1 as x from m",
     "win_8_sample_grid": _GRID + "select * from gw",
     "joi_8_as_of": _GRID + ", x as (select i, t, (select c.sha from cm c where epoch(c.ts) <= t order by c.ts desc, c.sha desc limit 1) as sha from gw), y as (select *, lag(sha) over (order by i) as p from x) select i, t, sha from y where sha is not null and (p is null or p <> sha)",
     "joi_9_window_messages": _GRID + ", x as (select i, cm.sha, message, row_number() over (partition by i order by ts desc, cm.sha desc) as rank from cm join gw on epoch(ts) > before and epoch(ts) <= t) select i, rank, sha, message from x where rank <= 5",

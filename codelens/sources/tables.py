@@ -12,32 +12,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:
-    """`orders` in the role of the change log: one row per change set. `seq_ts, sha` orders them totally."""
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"),
-        F.col("o_orderpriority").alias("message"), F.col("o_totalprice").alias("size"), F.col("o_orderstatus").alias("status"))
+    """The change log, one row per sha: of repeated rows the one loaded first. Blank or null authors count as `(none)`.
+    `ts, sha` order commits totally; size is the length of the message, status its sort."""
+    c = table(spark, folder, "commits").where("sha is not null").groupBy("sha").agg(F.min_by(F.struct("author", "ts", "message"), "ingested_at").alias("x"))
+    message = F.coalesce("message", F.lit(""))
+    status = F.when(message.startswith("Merge"), "merge").when(message.startswith("fix"), "fix").otherwise("other")
+    return c.select("sha", "x.*").select("sha", F.coalesce(F.nullif(F.trim("author"), F.lit("")), F.lit("(none)")).alias("author"), "ts", "message", F.length(message).cast("double").alias("size"), status.alias("status"))
 
 
 def file_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """`lineitem` in the role of per-file changes, several lines of one (sha, path) added up."""
-    return (
-        table(spark, folder, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path"))
-        .agg(F.sum("l_quantity").cast("bigint").alias("additions"), F.sum(F.round(F.col("l_tax") * 100)).cast("bigint").alias("deletions"))
-    )
+    """Changes of files, one row per (sha, path): repeated rows count once, null paths are left out, null counts are 0."""
+    c = table(spark, folder, "file_changes").where("path is not null and sha is not null").distinct()
+    return c.groupBy("sha", "path").agg(F.sum(F.coalesce("additions", F.lit(0))).alias("additions"), F.sum(F.coalesce("deletions", F.lit(0))).alias("deletions"))
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """`part` in the role of the file dimension."""
-    return table(spark, folder, "part").select(
-        F.col("p_partkey").alias("path"), F.col("p_name").alias("name"), F.col("p_type").alias("language"), F.col("p_brand").alias("component"),
-        F.col("p_size").alias("complexity"), (F.lit(100) + F.col("p_size") * 10).cast("bigint").alias("loc"))
+    """The indexed files: complexity is the sum over a file's symbols of the greatest measured one (null if none is), loc the
+    last line seen."""
+    y = table(spark, folder, "symbols").groupBy("file_path", "symbol_name").agg(F.max("cyclomatic_complexity").alias("c"), F.max("end_line").alias("e"))
+    f = y.groupBy(F.col("file_path").alias("path")).agg(F.sum("c").alias("complexity"), F.max("e").cast("bigint").alias("loc"))
+    return f.select("path", F.substring_index("path", "/", -1).alias("name"), F.substring_index("path", ".", -1).alias("language"), F.substring_index("path", "/", 1).alias("component"), "complexity", "loc")
 
 
 def blame(spark: SparkSession, folder: str) -> DataFrame:
-    """`lineitem` in the role of line authorship: lines of each author (supplier) in each file (order)."""
-    return (
-        table(spark, folder, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("path"), F.col("l_suppkey").alias("author"))
-        .agg(F.sum("l_quantity").cast("bigint").alias("lines"), F.min("l_shipdate").alias("first_ts"), F.max("l_shipdate").alias("last_ts"))
-    )
+    """Line authorship: the lines that each author added to each file, and when."""
+    j = file_changes(spark, folder).join(commits(spark, folder).select("sha", "author", "ts"), "sha")
+    return j.groupBy("path", "author").agg(F.sum("additions").alias("lines"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
