@@ -1,9 +1,12 @@
-"""Syntax check of one file: tokens, brackets from the inside out, statements.
+"""Syntax check of one file by generalised LL.
 
-The token stream is a string of token classes. Innermost brackets are recognised first and become one token that
-carries the roles their contents can play, so nesting never deepens the parse; contents of braces fall apart into
-statements. What is left to recognise are short strings over a small alphabet. They recur within and across files, so each
-is parsed by the generalised LL recogniser once per worker, whatever the number of files.
+The token stream is a string of token classes. Brackets always balance, so a bracketed part is parsed by itself, with every
+start symbol that its kind of bracket may hold (its roles), and stands in the text around it as one token that carries the
+roles it can play; indented blocks of Python are brackets too. This leaves the language unchanged and lets workers keep what
+they have parsed: contents recur within and across files. Contents are parsed whole, whatever their size.
+
+Literals with holes (formatted strings, templates, command substitutions) are tokens; the code in their holes is parsed by
+the same grammar. Elements of markup in JavaScript and TypeScript become arrays of the expressions in them.
 """
 
 from __future__ import annotations
@@ -11,15 +14,15 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from codelens.llm.parsing import holes
 from codelens.llm.parsing.gll import Grammar
-from codelens.llm.parsing.languages import ALIASES, LANGUAGES
+from codelens.llm.parsing.languages import ALIASES, BRACES, LANGUAGES
 
 BAD = "\x01"
-#: A worker forgets parses when it knows so many; only speed depends on it.
+#: A worker forgets tokens and parses when it knows so many; only speed depends on it.
 CACHE = 300_000
-#: Contents of braces longer than this are split into statements before parsing.
-WHOLE = 48
-CLASSES = {c: c for c in "insbapkrcdvqwxlzoht"}
+CLASSES = {c: c for c in "nsbapkrcdvqwxlohtg"}
+FIRST_INDENT, INDENTS = 0x20000, 0x10000
 
 
 def language_of(path: str | None, language: str | None) -> str | None:
@@ -33,10 +36,9 @@ def language_of(path: str | None, language: str | None) -> str | None:
 class Kinds(dict):
     """Token -> its class."""
 
-    def __init__(self, language: str, keywords: dict[str, str], operators: dict[str, str]):
+    def __init__(self, owner: Language, keywords: dict[str, str], operators: dict[str, str]):
         super().__init__()
-        self.language, self.keywords, self.operators = language, keywords, operators
-        self.comment = ("#",) if language in ("python", "ruby", "bash", "c", "csharp") else ("//", "/*")
+        self.owner, self.language, self.keywords, self.operators = owner, owner.name, keywords, operators
 
     def __missing__(self, token: str) -> str:
         kind = self._kind(token)
@@ -53,102 +55,150 @@ class Kinds(dict):
             return self.operators[t]
         c, lang = t[0], self.language
         if c == "\n":
-            if lang != "python":
-                return "\n"
-            tail = t[t.rfind("\n") + 1 :].replace("\f", "").expandtabs(8)
-            return chr(0xE000 + min(len(tail), 0xFFF))
+            return self.owner.indent(t) if lang == "python" else "\n"
+        if t == "\\\n":
+            return ""
         if t.startswith(("//", "/*")) and len(t) > 1 and lang not in ("python", "ruby", "bash"):
             if lang in ("javascript", "typescript") or len(t) < 3 or t[1] in "/*":
                 return "\n" if "\n" in t and lang in ("javascript", "typescript", "go") else ""
         if c == "#" or t.lstrip()[:1] == "#":
-            if lang in ("python", "ruby") or lang == "bash":
+            if lang in ("python", "ruby", "bash"):
                 return ""
             if len(t) > 1 and lang in ("c", "csharp", "javascript", "typescript"):
                 return ""
-        if lang == "python" and t == "\\\n":
-            return ""
         if lang == "ruby" and t.startswith(("=begin", "__END__")):
             return ""
         if lang == "bash":
-            if t == "\\\n":
-                return ""
-            if c in "<>" or re.match(r"\d*[<>]|&>", t):
-                return "h" if len(t) > 1 else BAD
-            if c in "()" and len(t) == 1 or c in ";&" and len(t) == 1:
-                return c
-            if t.startswith("[[") or t.startswith("(("):
-                return "s"
-            if "=(" in t and t.endswith(")"):
-                return "s"
-            return BAD if c in "\"'`" and len(t) == 1 else "i"
+            return self._bash(t)
         if lang == "ruby":
-            if t[:1] == ":" and len(t) > 1 and t != "::" or c == "?" and len(t) > 1 or c == "%" and len(t) > 2 or t.startswith("<<") and len(t) > 2 or c == "/" and len(t.strip()) > 1:
+            if t == holes.HEREDOC:
                 return "s"
-            if t.strip()[:1] == "/" and len(t.strip()) > 1:
+            s = t.strip()
+            if c == ":" and len(t) > 1 and t != "::" or c == "?" and len(t) > 1:
                 return "s"
+            if c == "%" and len(t) > 2 or s[:1] == "/" and len(s) > 1:
+                return "s" if self.owner.holes_valid(t) else BAD
             if c in "@$" and len(t) > 1:
                 return "i"
         if lang == "rust" and c == "'" and not t.endswith("'"):
             return "l"
-        if len(t) > 1 and t[-1] in "\"'`" or t[-1] == "#" and '"' in t:
-            return "s"
+        if len(t) > 1 and t[-1] in "\"'`" or t[-1] == "#" and '"' in t or t.endswith('"u8'):
+            return "s" if self.owner.holes_valid(t) else BAD
         if lang in ("javascript", "typescript") and t.lstrip()[:1] == "/" and len(t.strip()) > 1:
             return "s"
         if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
             return "n"
         if c == "_" or c.isalpha() or c == "@" and len(t) > 1 or c == "$" and lang in ("javascript", "typescript", "c", "java"):
             return "i"
-        if lang == "java" and c == "$":
-            return "i"
-        return c if len(t) == 1 and c in "+-*/%&|^~!<>=?:;,.(){}[]@#" else BAD
+        return c if len(t) == 1 and c in ("+-*/%&|^~!<>=?:;,.(){}[]@#$" if lang == "rust" else "+-*/%&|^~!<>=?:;,.(){}[]@#") else BAD
+
+    def _bash(self, t: str) -> str:
+        c = t[0]
+        if t == holes.HEREDOC:
+            return "g"
+        if t.lstrip()[:2] in ("<(", ">("):
+            return "i" if self.owner.holes_valid(t) else BAD
+        if re.fullmatch(r"(?:\{\w+\}|\d*)[<>&|]+", t) and t not in ("&", "|", "||", "&&"):
+            return "h"
+        if c in "()" and len(t) == 1 or c in ";&" and len(t) == 1:
+            return c
+        if t.startswith("(("):
+            return "d"
+        if t.startswith("[[") and t.endswith("]]") and len(t) > 4:
+            return "d" if self.owner.holes_valid(t) else BAD
+        if c in "\"'`" and len(t) == 1:
+            return BAD
+        if "$(" in t or "`" in t:
+            return ("s" if "=(" in t and t.endswith(")") else "i") if self.owner.holes_valid(t) else BAD
+        return "s" if "=(" in t and t.endswith(")") else "i"
 
 
 class Language:
     def __init__(self, name: str):
         spec = LANGUAGES[name]
         self.name, self.spec = name, spec
-        keywords = {k: chr(0xF0000 + i) for i, k in enumerate(spec["keywords"])}
+        words = [*spec["keywords"], *spec["contextual"]]
+        keywords = {k: chr(0xF0000 + i) for i, k in enumerate(words)}
         self.keywords = keywords
+        names = "iC" + "".join(keywords[w] for w in spec["contextual"])
         self.roles: dict[str, set[str]] = {}
-        self.grammar = Grammar(spec["grammar"] + ("\nAny: 'x'\n" if name == "rust" else ""), CLASSES | keywords, self.roles)
-        self.kinds = Kinds(name, keywords, spec["operators"])
+        self.grammar = Grammar(spec["grammar"], CLASSES | keywords | {"i": names, "ctor": "C"}, self.roles, spec["islands"], spec["stops"], spec.get("skip", False))
+        self.kinds = Kinds(self, keywords, spec["operators"])
         self.many = re.compile(rf"(?:{spec['lexer']}|{'|'.join(sorted((re.escape(o) for o in spec['operators'] if len(o) > 1), key=len, reverse=True)) or chr(1)}|\S)", re.M)
+        self.declares = re.compile(spec["declares"]) if "declares" in spec else None
         self.groups: dict[str, str] = {}
         self.tokens: dict[tuple, str] = {}
-        self.units: dict[tuple, bool | frozenset] = {}
+        self.fragments: dict[str, bool] = {}
+        self.indents: dict[tuple[int, int], str] = {}
         self.inner = re.compile(r"\([^(){}\[\]]*\)|\[[^(){}\[\]]*\]|\{[^(){}\[\]]*\}")
+        self.lists = re.compile(r"(?:[ns],){2,}")
         k = keywords
-        after = "".join(k[w] for w in ("else", "catch", "finally") if w in k)
-        group = "[\U000F8000-\U000FFFFF]"  # braces; other brackets end no statement
-        going = re.escape(";,.)=+*-/?:<>&|^%") + "bakqrpo" + after + "".join(k[w] for w in ("instanceof", "as", "is", "from", "in", "of", "satisfies") if w in k)
-        if name == "rust":
-            going = re.escape(".;?") + (k["else"] + "=")
-        one = "[^;\U000F8000-\U000FFFFF]*"
-        self.split = re.compile(rf"{one}(?:(?:;(?=[{after or BAD}])|{group}(?=[{going}])){one})*(?:;|{group}|$)")
-        self.loops = re.compile(f"{k['do']}({group}){k['while']}") if name in ("c", "java", "csharp", "javascript", "typescript") else None
-        self.types = re.compile(f"[{k['struct']}{k['union']}{k['enum']}]i?{group}(?=[i*])") if name == "c" else None
-        self.lists = re.compile(r"((?:[ns],){2,})")
-
-    def recognised(self, start: tuple[str, ...], text: str) -> frozenset:
-        key = (start, text)
-        got = self.units.get(key)
-        if got is None:
-            if len(self.units) > CACHE:
-                self.units.clear()
-            got = self.units[key] = frozenset(self.grammar.matches(start, text))
-        return got
+        ends = f"insCp)\\]\U000f1000-\U000fffff{names}"
+        if name == "go":
+            self.ends = re.compile(f"(?<=[{ends}{''.join(k[w] for w in ('break', 'continue', 'fallthrough', 'return'))}])\n")
+        if name in ("javascript", "typescript"):
+            never = ";,=%&|^:.bakqv+/~-" + ("" if name == "typescript" else "?!>")
+            self.drop = re.compile(rf"(?<=[{re.escape(never)}])\n+|\n+(?=[;,=%&|^?:.bakq)>\n])|^\n+")
+        if name == "ruby":
+            self.drop = re.compile(rf"(?<=[,=+*/%&|.?:bakovxr!<>-])\n+|(?<=[{k['and']}{k['or']}{k['not']}])\n+|\n+(?=\.[^.]|q)")
+
+    # tokens
 
     def lex(self, text: str) -> str:
         if self.name in ("ruby", "bash"):
             tokens = [m.group() for m in self.many.finditer(text)]
+            if "<<" in text:
+                tokens = holes.heredocs(self, tokens)
         else:
             tokens = self.many.findall(text)
+        if self.declares and (names := set(self.declares.findall(text))):
+            kinds = self.kinds
+            return "".join(["C" if t in names else kinds[t] for t in tokens])
         return "".join(map(self.kinds.__getitem__, tokens))
 
+    def indent(self, token: str) -> str:
+        """The class of a line end of Python: one for each width of the next line's indent, with tabs to 8 and to 1."""
+        tail = token[token.rfind("\n") + 1 :]
+        tail = tail[tail.rfind("\f") + 1 :]
+        key = (len(tail.expandtabs(8)), len(tail))
+        got = self.indents.get(key)
+        if got is None:
+            if len(self.indents) >= INDENTS:
+                raise ValueError("too many different indents")
+            got = self.indents[key] = chr(FIRST_INDENT + len(self.indents))
+        return got
+
+    def holes_valid(self, token: str) -> bool:
+        found = holes.code_in(self, token)
+        return found is not None and all(map(self.fragment, found))
+
+    def fragment(self, text: str) -> bool:
+        """Whether the code in a hole of a literal is what the language allows there."""
+        got = self.fragments.get(text)
+        if got is None:
+            if len(self.fragments) > CACHE:
+                self.fragments.clear()
+            got = self.fragments[text] = self._fragment(text)
+        return got
+
+    def _fragment(self, text: str) -> bool:
+        if self.name == "bash":
+            return self._bash(text)
+        codes = self.collapse(self.lex(text))
+        if self.name == "python":
+            codes = re.sub("[\U00020000-\U0002ffff]", "", codes)
+        if BAD in codes or re.search(r"[()\[\]{}]", codes):
+            return False
+        if self.name == "ruby":
+            return bool(self.grammar.matches(("Stmts",), self.newlines(codes, "{")))
+        return bool(self.grammar.matches(({"python": "Field", "csharp": "E"}.get(self.name, "Seq"),), codes.replace("\n", "")))
+
     # brackets
 
     def group(self, m) -> str:
-        text = m.group()
+        return self.part(m.group())
+
+    def part(self, text: str) -> str:
         got = self.groups.get(text)
         if got is None:
             if len(self.groups) > CACHE:
@@ -161,83 +211,42 @@ class Language:
             return BAD
         got = self.tokens.get((bracket, roles))
         if got is None:
-            got = self.tokens[bracket, roles] = chr((0xF8000 if bracket == "{" else 0xF1000) + len(self.tokens))
+            got = self.tokens[bracket, roles] = chr((0xF8000 if bracket in "{\n" else 0xF1000) + len(self.tokens))
             for r in roles:
                 self.roles.setdefault(r, set()).add(got)
         return got
 
     def roles_of(self, bracket: str, text: str) -> set[str]:
+        """The roles that the contents can play: their start symbols are followed together. A run of literals and commas stands
+        for its last ones: wherever a bracket holds two of them in a list, it may hold any number."""
         if BAD in text:
             return set()
         want = self.spec.get(bracket, {})
         out = {r for r, w in want.items() if w == "Tree"}  # any balanced tokens
         want = {r: w for r, w in want.items() if w != "Tree"}
         text = self.lists.sub(lambda m: m.group()[-2:], text)
-        if self.name in ("python",):
-            text = re.sub("[\ue000-\uefff]", "", text)
-        if "\n" in text:
+        if self.name == "python" and bracket != "\n":
+            text = re.sub("[\U00020000-\U0002ffff]", "", text)
+        elif "\n" in text and bracket != "\n":
+            if self.name == "ruby" and bracket == "(":
+                plain = text.replace("\n", "")
+                got = self.grammar.matches(("Stmts",), self.newlines(text, bracket)) | self.grammar.matches(tuple(sorted({*want.values()} - {"Stmts"})), plain)
+                return {r for r, w in want.items() if w in got}
             text = self.newlines(text, bracket)
-        plain = {r: w for r, w in want.items() if w[-1] not in "*?+"}
-        several = {r: w for r, w in want.items() if w[-1] in "*?+"}
-        if not text:
-            return out | {r for r in several if want[r][-1] != "+"} | self._whole(plain, "")
-        if bracket == "{":
-            units = self.split_units(text)
-            for r, w in several.items():
-                if all(self.unit(w[:-1], u) for u in units):
-                    out.add(r)
-            if self.name == "go" and len(text) > WHOLE:
-                if all(u == ";" or self.recognised(("Stmt",), u.rstrip(";")) for u in re.findall(r"[^;]*;|[^;]+$", text)):
-                    return out | {"BLOCK"}
-            if self.name == "rust" and len(text) > WHOLE:
-                if all(self.recognised(("Stmt",), u) for u in units[:-1]) and self.recognised(("Block",), units[-1]):
-                    out.add("BLOCK")
-            if out - {"TREE"} and len(text) > WHOLE:
-                return out
-        else:
-            for r, w in several.items():
-                if self.recognised((w[:-1],), text) or w[-1] != "+" and not text:
-                    out.add(r)
-        return out | self._whole(plain, text)
-
-    def _whole(self, want: dict[str, str], text: str) -> set[str]:
-        if not want:
-            return set()
-        got = self.recognised(tuple(sorted(set(want.values()))), text)
-        return {r for r, w in want.items() if w in got}
-
-    def split_units(self, text: str) -> list[str]:
-        if self.loops and self.keywords["do"] in text:  # do {...} while (...) is as well formed as while (...)
-            text = self.loops.sub(lambda m: self.keywords["while"] if m.group(1) in self.roles["BLOCK"] else BAD, text)
-        if self.types:  # struct {...} name
-            text = self.types.sub(self.keywords["int"], text)
-        return [u for u in self.split.findall(text) if u]
-
-    def unit(self, start: str, text: str) -> bool:
-        """Whether it is one statement, or, as line ends may stand for semicolons, one and an empty one."""
-        return bool(self.recognised((start,), text)) or self.name in ("javascript", "typescript") and text[-1] == ";" and (len(text) == 1 or bool(self.recognised((start,), text[:-1])))
+        got = self.grammar.matches(tuple(sorted(set(want.values()))), text)
+        return out | {r for r, w in want.items() if w in got}
 
     def newlines(self, text: str, bracket: str) -> str:
-        k = self.keywords
-        ends = "insp)" + "\U000F1000-\U000FFFFF"
+        """Line ends as the grammar sees them: those that can't end a statement are left out."""
         if self.name == "go":
-            ends += "".join(k[w] for w in ("break", "continue", "fallthrough", "return"))
-            return re.sub("\n", "", re.sub(rf"(?<=[{ends}])\n", ";", text))
+            return self.ends.sub(";", text).replace("\n", "")
         if self.name in ("javascript", "typescript"):
-            if bracket in "([":
-                return text.replace("\n", "")
-            go_on = "".join(k[w] for w in ("else", "catch", "finally", "in", "of", "instanceof", "as", "while", "extends", "from", "implements") if w in k)
-            ends += "".join(k[w] for w in ("break", "continue", "return", "this", "super", "void") if w in k)
-            text = re.sub(r"\n+", "\n", text)
-            text = re.sub(rf"(?<=[{ends}\]])\n(?=[insp#@*\U000F0000-\U000F0FFF])(?![{go_on}*])", ";", text)
-            text = re.sub(rf"(?<=[{ends}])\n(?=[\U000F1000-\U000FFFFF])", "", text)
-            return text.replace("\n", "")
+            return self.drop.sub("", re.sub("\n+", "\n", text)).strip("\n") if bracket == "{" else text.replace("\n", "")
         if self.name == "ruby":
-            return self.ruby_lines(text, bracket)
+            text = self.drop.sub("", re.sub("\n+", "\n", text))
+            return text if bracket in "{(" else text.replace("\n", "")
         return text.replace("\n", "")
 
-    # files
-
     def collapse(self, codes: str) -> str:
         last = None
         while last != codes and BAD not in codes:
@@ -245,6 +254,8 @@ class Language:
             codes = self.inner.sub(self.group, codes)
         return codes
 
+    # files
+
     def valid(self, text: str) -> bool:
         text = text.replace("\r\n", "\n").removeprefix("\ufeff")
         if not text.strip():
@@ -253,162 +264,51 @@ class Language:
             return False
         if self.spec.get("nested_comments"):
             text = without_nested_comments(text)
-        if self.name == "python":
-            return self.valid_python(text)
+        if self.name in ("c", "csharp") and re.search(r"^[ \t]*#[ \t]*(?:if|el|endif)", text, re.M):
+            branches = holes.branches(text)
+            return branches is not None and any(map(self._valid, branches))
+        return self._valid(text) or any(map(self._valid, holes.rewritten(self, text)))
+
+    def _valid(self, text: str) -> bool:
         if self.name == "bash":
-            return self.valid_bash(text)
-        codes = self.collapse(self.lex(text))
+            return self._bash(text)
+        codes = self.collapse(self.lex("\n" + text if self.name == "python" else text))
         if BAD in codes or re.search(r"[()\[\]{}]", codes):
             return False
-        if self.name == "ruby":
-            return self.valid_ruby(codes)
-        codes = self.newlines(codes, "{")
-        top = (self.spec["top"],)
-        if self.name == "go":
-            units = [u for u in re.findall(r"[^;]*(?:;|$)", codes) if u.strip(";")]
-            return not units or units[0][0] == self.keywords["package"] and all(self.recognised(top, u.rstrip(";")) for u in units)
-        codes = self.lists.sub(lambda m: m.group()[-2:], codes)
-        return all(self.unit(top[0], u) for u in self.split_units(codes))
+        codes = self.blocks(codes) if self.name == "python" else self.newlines(codes, "{")
+        return BAD not in codes and bool(self.grammar.matches(self.spec["starts"], codes))
+
+    def _bash(self, text: str) -> bool:
+        codes = self.lex(text)
+        return BAD not in codes and bool(self.grammar.matches(self.spec["starts"], re.sub("\n+", "\n", codes)))
+
+    def blocks(self, codes: str) -> str:
+        """Python's lines with indented blocks as bracketed parts; BAD where an indent returns to none of those open."""
+        parts = re.split("([\U00020000-\U0002ffff])", codes)
+        width = {c: k for k, c in self.indents.items()}
+        stack: list[tuple[tuple[int, int], list[str]]] = [((0, 0), [])]
+
+        def close() -> None:
+            _, lines = stack.pop()
+            stack[-1][1].append(self.part("\n" + "".join(lines) + "\n"))
 
-    def valid_python(self, text: str) -> bool:
-        codes = self.collapse(self.lex("\n" + text))
-        if BAD in codes or re.search(r"[()\[\]{}]", codes):
-            return False
-        parts = re.split("([\ue000-\uefff])", codes)
-        starts = tuple(self.spec["line"])
-        stack, opened, state = [0], False, [""]
         for mark, line in zip(parts[1::2], parts[2::2]):
             if not line:
                 continue
-            indent = ord(mark) - 0xE000
-            kinds = self.recognised(starts, line)
-            if not kinds:
-                return False
-            if opened:
-                if indent <= stack[-1]:
-                    return False
-                stack.append(indent)
-                state.append("")
-            else:
-                while indent < stack[-1]:
-                    if state[-1] in ("try", "deco"):
-                        return False
-                    stack.pop()
-                    state.pop()
-                if indent != stack[-1]:
-                    return False
-            before = state[-1]
-            opened = line[-1] == ":"
-            # what may follow on this level
-            if "Elif" in kinds:
-                if before != "if":
-                    return False
-                now = "if"
-            elif "Else" in kinds:
-                if before not in ("if", "loop", "except"):
-                    return False
-                now = "else" if before == "except" else ""
-            elif "Except" in kinds:
-                if before not in ("try", "except"):
-                    return False
-                now = "except"
-            elif "Finally" in kinds:
-                if before not in ("try", "except", "else"):
-                    return False
-                now = ""
-            else:
-                if before == "try" or before == "deco" and not kinds & {"Def", "Deco"}:
-                    return False
-                now = "if" if "If" in kinds else "loop" if "Loop" in kinds else "try" if "Try" in kinds else "deco" if "Deco" in kinds else ""
-            state[-1] = now
-        return not opened and not any(s in ("try", "deco") for s in state)
-
-    def ruby_lines(self, text: str, bracket: str) -> str:
-        text = re.sub(r"\n+(?=\.|q)", "", text)
-        text = re.sub(r"(?<=[,+*/%&|=.bakov(\\-])\n+", "", text)
-        return text.replace("\n", "" if bracket in "([" else ";")
-
-    def valid_ruby(self, codes: str) -> bool:
-        k = self.keywords
-        text = self.ruby_lines(codes, "{")
-        text = re.sub(rf"(?<![.q]){k['do']}((?:\|[^|;]*\||o)?)", rf"{k['do']}\1;", text)
-        text = re.sub(rf"(?<![.q;])({k['end']})(?!:)", r";\1", text)
-        text = re.sub(rf"(?<![.q])({k['then']})(?!:)", r"\1;", text)
-        text = re.sub(rf"(?<![.q])({k['else']})(?!:)", r";\1;", text)
-        starts = ("Stmt", "If", "Case", "Def", "Loop", "Begin", "Opener", "Do", "Mid")
-        out = []
-        for u in text.split(";"):
-            if not u:
-                continue
-            if u[0] == k["end"]:
-                if len(u) > 1 and not self.recognised(("Stmt",), "i" + u[1:]):
-                    return False
-                out.append("E")
-                continue
-            kinds = self.recognised(starts, u)
-            if not kinds:
-                return False
-            if kinds & {"If", "Case", "Def", "Loop", "Begin", "Opener", "Do"} and not ("Stmt" in kinds):
-                out.append("O")
+            at, top = width[mark], stack[-1][0]
+            if at[0] > top[0]:
+                if at[1] <= top[1]:
+                    return BAD
+                stack.append((at, []))
             else:
-                out.append("M" if "Mid" in kinds and "Stmt" not in kinds else "x")
-        return self.nested("".join(out), r"Ox*(?:Mx*)*E")
-
-    @staticmethod
-    def nested(text: str, block: str) -> bool:
-        """Whether blocks, reduced from the inside out, leave nothing but simple statements."""
-        text = re.sub("x+", "x", text)
-        last = None
-        while last != text:
-            last = text
-            text = re.sub("x+", "x", re.sub(block, "x", text))
-        return text in ("", "x")
-
-    def valid_bash(self, text: str) -> bool:
-        codes = self.lex(text)
-        if BAD in codes:
-            return False
-        k = self.keywords
-        codes = re.sub(r"b\n+", "b", codes)
-        starts = tuple(self.spec["line"])
-        letters = {"Simple": "x", "If": "I", "Then": "T", "Elif": "L", "Else": "S", "Fi": "F", "Loop": "W", "Do": "D", "Done": "N", "Fun": "U", "Open": "{", "Close": "}", "Sub": "(", "SubEnd": ")", "Case": "C", "Arm": "A", "ArmEnd": "t", "Esac": "Z"}
-        heads = re.compile(f"^({k['then']}|{k['do']}|{k['else']})(?=.)")
-        order = [s for s in starts if s != "Simple"]
-        out, todo = [], list(reversed(re.split(r"[;\n]|(t)", codes)))
-        while todo:
-            u = todo.pop()
-            if not u:
-                continue
-            if m := heads.match(u):
-                out.append(letters[{k["then"]: "Then", k["do"]: "Do", k["else"]: "Else"}[m.group(1)]])
-                todo.append(u[1:])
-                continue
-            kinds = self.recognised(starts, u)
-            if not kinds and u[0] == k["case"] and k["in"] in u[:-1]:
-                at = u.index(k["in"]) + 1
-                todo += [u[at:], u[:at]]
-                continue
-            if not kinds:
-                m = re.match(r"((?:i\(\))?[{(])(.+)$|(\(?i(?:bi)*\))(.+)$|(.+?)([})].*)$", u)
-                if not m:
-                    return False
-                if m.group(1):
-                    todo += [m.group(2), m.group(1)]
-                elif m.group(3):
-                    todo += [m.group(4), m.group(3)]
-                else:
-                    todo += [m.group(6), m.group(5)]
-                continue
-            # a keyword in command position is no plain word
-            first = next((s for s in order if s in kinds), "Simple")
-            out.append(letters[first])
-        text = "".join(out)
-        last = None
-        while last != text:
-            last = text
-            text = re.sub("x+", "x", text)
-            text = re.sub(r"Ix?Tx?(?:Lx?Tx?)*(?:Sx?)?F|Wx?Dx?N|U?\{x?\}|U?\(x?\)|C(?:Ax?t)*(?:Ax?)?Z", "x", text)
-        return text in ("", "x")
+                while at[0] < stack[-1][0][0]:
+                    close()
+                if at != stack[-1][0]:
+                    return BAD
+            stack[-1][1].append(line + "\n")
+        while len(stack) > 1:
+            close()
+        return "".join(stack[0][1])
 
 
 def without_nested_comments(text: str) -> str:
@@ -416,28 +316,8 @@ def without_nested_comments(text: str) -> str:
     if "/*" not in text:
         return text
     out, depth, at = [], 0, 0
-    for m in re.finditer(r"""//[^\n]*|/\*|\*/|b?r(#*)"[\s\S]*?"\1|"(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\\n]|\\[^\n]+?)'""", text):
-        t = m.group()
-        if depth == 0:
-            if t == "/*":
-                out.append(text[at : m.start()])
-                depth = 1
-        elif t == "/*":
-            depth += 1
-        elif t == "*/":
-            depth -= 1
-            at = m.end()
-        elif "*/" in t or "/*" in t:  # a quote inside a comment is no string
-            return _slow_comments(text)
-    if depth:
-        return text + BAD
-    out.append(text[at:])
-    return " ".join(out)
-
-
-def _slow_comments(text: str) -> str:
-    out, depth, at = [], 0, 0
-    plain = re.compile(r"""//[^\n]*|/\*|b?r(#*)"[\s\S]*?"\1|"(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\\n]|\\[^\n]+?)'""")
+    plain = re.compile(r"""//[^\n]*|/\*|[bc]?r(#*)"[\s\S]*?"\1|"(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\\n]|\\[^\n]+?)'""")
+    inside = re.compile(r"/\*|\*/")
     while m := plain.search(text, at):
         if m.group() != "/*":
             out.append(text[at : m.end()])
@@ -446,7 +326,7 @@ def _slow_comments(text: str) -> str:
         out.append(text[at : m.start()])
         depth, at = 1, m.end()
         while depth:
-            e = re.compile(r"/\*|\*/").search(text, at)
+            e = inside.search(text, at)
             if not e:
                 return "".join(out) + BAD
             depth += 1 if e.group() == "/*" else -1

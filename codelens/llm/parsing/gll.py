@@ -1,17 +1,34 @@
-"""Generalised LL recognition with a graph-structured stack.
+"""Generalised LL recognition with a graph-structured stack and memoised prefixes.
 
 Any context-free grammar, ambiguous or left-recursive, is recognised from several start symbols at once: all of them (the
 dialects of a language, or the roles that a bracketed part may play) share one stack graph. A stack node is a nonterminal
 at a position; it is expanded once, and every caller that reaches it later takes over what it has matched already.
 
+What a nonterminal matches from a position depends only on the tokens that the recogniser looks at. Statements and members
+(the grammar's islands) recur within and across files, so each is recognised on the tokens up to the next statement end, and
+if the recogniser wanted to look further, on twice as many, until it did not. The result is that of parsing the whole text at
+once, whatever the sizes; known prefixes are only looked up.
+
 Grammar text: one rule a line, `Name: alternative | alternative`; symbols are separated by spaces and may carry ? * or +.
-Capitalised symbols are nonterminals, `'x'` one of the characters x, `<ROLE>` a bracketed part that can play the role,
-others are keywords or token classes.
+Capitalised symbols are nonterminals, `'x'` one of the characters x, `<ROLE>` a bracketed part that can play the role, `nl` a
+line end, `eof` the end of the text or of the brackets (nothing is consumed), others are keywords or token classes. An
+alternative that begins with `^x` isn't tried at a token x, with `^{` at a part in braces.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+
+#: What stands behind the text: its end, or, in a prefix, tokens not looked at.
+END, MORE = "\0", "\x02"
+NL = "\n"
+#: Tokens from here on are parts in braces.
+BRACE = "\U000f8000"
+#: A worker forgets prefixes when they hold so many characters; only speed depends on it.
+MEMORY = 8_000_000
+
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))  # statements nest; interpreted calls need no machine stack
 
 
 class Alternative(tuple):
@@ -24,18 +41,27 @@ class Alternative(tuple):
 
 
 class Grammar:
-    def __init__(self, text: str, chars: dict[str, str], roles: dict[str, set[str]]):
-        """chars: the character of each keyword and token class; roles: filled while parsing, read by reference."""
+    def __init__(self, text: str, chars: dict[str, str], roles: dict[str, set[str]], islands: tuple[str, ...] = (), stops: str = ";", skip: bool = False):
+        """chars: the characters of each keyword and token class; roles: filled while parsing, read by reference; stops: a
+        character class of tokens at which statements may end; skip: whether line ends may be passed over anywhere."""
         self.rules: dict[str, list[tuple]] = {}
         self.extra = 0
+        self.barred: dict[Alternative, set[str]] = {}
         for line in text.strip().splitlines():
             if line.strip():
                 name, _, body = line.partition(":")
-                alts = [self._symbols(a.split(), chars, roles) for a in re.split(r"(?<!\S)\|(?!\S)", body)]
-                self.rules.setdefault(name.strip(), []).extend(alts)
+                for a in re.split(r"(?<!\S)\|(?!\S)", body):
+                    words = a.split()
+                    alt = Alternative(self._symbols([w for w in words if w[0] != "^"], chars, roles))
+                    self.rules.setdefault(name.strip(), []).append(alt)
+                    if barred := {chars.get(w[1:], w[1:]) for w in words if w[0] == "^"}:
+                        self.barred[alt] = barred
         missing = {s for alts in self.rules.values() for a in alts for s in a if isinstance(s, str) and s not in self.rules}
         if missing:
             raise ValueError(f"no rules for {sorted(missing)}")
+        self.islands, self.skip, self.stop = frozenset(islands), skip, re.compile(f"[{stops}]")
+        self.memo: dict[tuple, tuple] = {}
+        self.held = 0
         self._first()
 
     def _symbols(self, words: list[str], chars, roles) -> tuple:
@@ -47,6 +73,8 @@ class Grammar:
                 sym = frozenset(w[1:-1])
             elif w[0] == "<":
                 sym = roles.setdefault(w[1:-1], set())
+            elif w in ("nl", "eof"):
+                sym = frozenset(NL if w == "nl" else END)
             else:
                 sym = frozenset(chars[w]) if w in chars else w
             if suffix:
@@ -77,7 +105,8 @@ class Grammar:
                         if id(sets) not in begin[n]:
                             begin[n][id(sets)] = sets
                             grown = True
-        self.alts = {n: [(Alternative(a), [*self._begin(a, begin)], all(isinstance(s, str) and s in self.empty for s in a)) for a in alts] for n, alts in self.rules.items()}
+        self.alts = {n: [(a if isinstance(a, Alternative) else Alternative(a), [*self._begin(a, begin)], all(isinstance(s, str) and s in self.empty for s in a)) for a in alts] for n, alts in self.rules.items()}
+        self.choice: dict[tuple[str, str], list] = {}
 
     def _begin(self, alt: tuple, begin: dict) -> list:
         out = []
@@ -89,49 +118,116 @@ class Grammar:
                 break
         return out
 
+    def choices(self, name: str, c: str) -> list:
+        """The alternatives of a nonterminal that can begin with the token. A token's roles never change, so choices are kept."""
+        got = self.choice.get((name, c))
+        if got is None:
+            got = [a for a, begins, empty in self.alts[name] if empty or any(c in b for b in begins)]
+            if self.barred:
+                got = [a for a in got if not (b := self.barred.get(a)) or c not in b and not ("{" in b and c >= BRACE)]
+            self.choice[name, c] = got
+        return got
+
     def matches(self, starts: tuple[str, ...], text: str) -> set[str]:
         """Those of the start symbols that derive the whole text."""
-        n, todo, seen, graph = len(text), [], set(), {}
-        text += "\0"
+        ends, _ = self._run(starts, text, True)
+        return {s for s, e in zip(starts, ends) if len(text) in e}
+
+    def _prefixes(self, name: str, text: str, pos: int, n: int, final: bool) -> tuple:
+        """(lengths that the nonterminal matches from pos, whether tokens behind n matter): by ever longer prefixes."""
+        at, count = pos, 1
+        while True:
+            for _ in range(count):
+                m = self.stop.search(text, at, n)
+                if m is None:
+                    at = n
+                    break
+                at = m.end()
+            end = min(at + 1, n)
+            last = end == n
+            key = (name, text[pos:end], final and last)
+            got = self.memo.get(key)
+            if got is None:
+                (ends,), more = self._run((name,), key[1], key[2])
+                got = tuple(ends), more
+                self.held += end - pos
+                if self.held > MEMORY:
+                    self.memo.clear()
+                    self.held = 0
+                self.memo[key] = got
+            if last or not got[1]:
+                return got
+            count *= 2
+
+    def _run(self, starts: tuple[str, ...], text: str, final: bool) -> tuple[list, bool]:
+        """(the ends of what each start symbol matches from the beginning, whether tokens behind the text matter)."""
+        n, todo, seen, graph, more = len(text), [], set(), {}, False
+        text += END if final else MORE
+        islands, choices, skip = self.islands, self.choice, self.skip
+
+        def resume(back, pos: int) -> None:
+            key = (*back, pos)
+            if key not in seen:
+                seen.add(key)
+                alt, dot, at = back
+                todo.append((alt, dot, pos, graph[at]))
 
-        def call(name: str, pos: int, back) -> None:
+        def call(name: str, pos: int, back) -> bool:
             node = graph.get((name, pos))
-            if node is None:
-                node = graph[name, pos] = ({back}, set(), (name, pos))
-                c = text[pos]
-                for alt, begins, empty in self.alts[name]:
-                    if empty or any(c in b for b in begins):
+            if node is not None:
+                if back is not None and back not in node[0]:
+                    node[0].add(back)
+                    for end in list(node[1]):
+                        resume(back, end)
+                return False
+            node = graph[name, pos] = ({back} if back else set(), set(), (name, pos))
+            if back is not None and name in islands:
+                ends, open_ = self._prefixes(name, text, pos, n, final)
+                for end in ends:
+                    node[1].add(pos + end)
+                    resume(back, pos + end)
+                return open_
+            c = text[pos]
+            alts = choices.get((name, c)) or self.choices(name, c)
+            for alt in alts:
+                todo.append((alt, 0, pos, node))
+            if skip and c == NL:
+                c = text[pos + 1]
+                for alt in choices.get((name, c)) or self.choices(name, c):
+                    if alt not in alts:
                         todo.append((alt, 0, pos, node))
-            elif back not in node[0]:
-                node[0].add(back)
-                for end in node[1]:
-                    resume(back, end)
-
-        def resume(back, pos: int) -> None:
-            if back is not None:
-                key = (*back, pos)
-                if key not in seen:
-                    seen.add(key)
-                    alt, dot, at = back
-                    todo.append((alt, dot, pos, graph[at]))
+            return c == MORE
 
         for s in starts:
-            call(s, 0, None)
+            if call(s, 0, None):
+                more = True
         while todo:
             alt, dot, pos, node = todo.pop()
             size = len(alt)
             while dot < size:
                 s = alt[dot]
                 if isinstance(s, str):
-                    call(s, pos, (alt, dot + 1, node[2]))
+                    if call(s, pos, (alt, dot + 1, node[2])):
+                        more = True
                     break
-                if text[pos] not in s or pos >= n:
-                    break
-                pos += 1
-                dot += 1
+                c = text[pos]
+                if c in s:
+                    if pos < n:
+                        pos += 1
+                    dot += 1
+                    continue
+                if skip and c == NL:
+                    c = text[pos + 1]
+                    if c in s:
+                        pos += 1 + (c != END)
+                        dot += 1
+                        continue
+                if c == MORE:
+                    more = True
+                break
             else:
                 if pos not in node[1]:
                     node[1].add(pos)
                     for back in list(node[0]):
                         resume(back, pos)
-        return {s for s in starts if n in graph[s, 0][1]}
+        return [graph[s, 0][1] for s in starts], more and not final
