@@ -62,8 +62,24 @@ class Grammar:
         self.islands, self.skip, self.stop = frozenset(islands), skip, re.compile(f"[{stops}]")
         self.memo: dict[tuple, tuple] = {}
         self.held = 0
+        self._turn()
         self._first()
 
+    def _turn(self) -> None:
+        """Rules that repeat on the right, A: b A | c, become A: B c with B: | B b, which are the same strings: a long list is then
+        one stack node whose matches go on, not a node for each of its tails."""
+        for name in list(self.rules):
+            alts = self.rules[name]
+            ends = lambda a: bool(a) and isinstance(a[-1], str) and a[-1] == name
+            again = [a for a in alts if ends(a)]
+            inside = any(isinstance(s, str) and s == name for a in alts for s in (a[:-1] if ends(a) else a))
+            if not again or inside or name in self.islands or any(a in self.barred for a in alts if isinstance(a, Alternative)):
+                continue
+            self.extra += 1
+            front = f"_{self.extra}"
+            self.rules[front] = [(), *[(front, *a[:-1]) for a in again]]
+            self.rules[name] = [(front, *a) for a in alts if not ends(a)]
+
     def _symbols(self, words: list[str], chars, roles) -> tuple:
         out = []
         for w in words:
@@ -80,7 +96,7 @@ class Grammar:
             if suffix:
                 self.extra += 1
                 name = f"_{self.extra}"
-                self.rules[name] = [(), (sym, name)] if suffix == "*" else [(), (sym,)] if suffix == "?" else [(sym,), (sym, name)]
+                self.rules[name] = [(), (name, sym)] if suffix == "*" else [(), (sym,)] if suffix == "?" else [(sym,), (name, sym)]
                 sym = name
             out.append(sym)
         return tuple(out)
