@@ -151,15 +151,18 @@ class Grammar:
 
     def _prefixes(self, name: str, text: str, pos: int, n: int, final: bool) -> tuple:
         """(lengths that the nonterminal matches from pos, whether tokens behind n matter): by ever longer prefixes."""
-        at, count = pos, 1
+        at, count, next_ = pos, 1, False
         while True:
-            for _ in range(count):
-                m = self.stop.search(text, at, n)
-                if m is None:
-                    at = n
-                    break
-                at = m.end()
-            end = min(at + 1, n)
+            if next_:  # the token behind the first statement end may be all that it takes
+                end = min(at + 1, n)
+            else:
+                for _ in range(count):
+                    m = self.stop.search(text, at, n)
+                    if m is None:
+                        at = n
+                        break
+                    at = m.end()
+                end = at
             last = end == n
             key = (name, text[pos:end], final and last)
             got = self.memo.get(key)
@@ -173,7 +176,9 @@ class Grammar:
                 self.memo[key] = got
             if last or not got[1]:
                 return got
-            count *= 2
+            next_ = count == 1 and not next_
+            if not next_:
+                count *= 2
 
     def _run(self, starts: tuple[str, ...], text: str, final: bool) -> tuple[list, bool]:
         """(the ends of what each start symbol matches from the beginning, whether tokens behind the text matter)."""

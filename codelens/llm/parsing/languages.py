@@ -805,20 +805,21 @@ T: nl | ';'
 Ts: | T Ts
 Stmts: | T Stmts | Stmt | Stmt T Stmts
 File: Stmts
-Stmt: Expr | Stmt Mod | Stmt rescue Stmt
+Stmt: Expr | Stmt Mod | Stmt rescue Expr
 Mod: if Expr | unless Expr | while Expr | until Expr
-Expr: E | Cmd | not Expr | '!' Cmd | Expr and Ts Expr | Expr or Ts Expr | Multi '=' Rhs | Lhs '=' Rhs | Lhs a Rhs | return Args1? | break Args1? | next Args1? | redo | retry | alias AName AName | undef Names | E k Pat | E in Pat | Block1 Args1
-Block1: yield
+Expr: Expr1 | Expr and Ts Expr1 | Expr or Ts Expr1
+Expr1: E | Cmd | not Expr1 | '!' Cmd | Multi '=' Rhs | Lhs '=' Rhs | Lhs a Rhs | return Args1? | break Args1? | next Args1? | redo | retry | alias AName AName | undef Names | E k Pat | E in Pat
 AName: Meth | s
 Names: AName | AName ',' Names
-Rhs: Expr | Args1 | Stmt rescue Stmt
+Rhs: Assigned | Arg ',' Args1 | '*' E
+Assigned: Cmd | not Expr1 | '!' Cmd | Lhs '=' Rhs | Lhs a Rhs | E
 Lhs: i | P '.' i | P q i | P <INDEX> | P c i | c i | self '.' i
 Multi: MItem ',' | MItem ',' Multi1 | '*' Lhs | '*' | <MLHS> ','
 Multi1: MItem | MItem ',' Multi1
 MItem: Lhs | '*' Lhs | '*' | <MLHS> | x
 Mlhs: Multi1
-E: U | E Bin E | E Bin Ts not E | E '?' E ':' E | U v | v U | E '?' E Lab E | defined Meth | defined <ARGS> | defined P | Lhs '=' E | Lhs a E
-Lab: ':'
+E: R | R '?' E ':' E | Lhs '=' E | Lhs a E
+R: U | R Bin U | R v | v U | defined P | R Bin Lhs '=' E | R Bin Lhs a E
 Bin: '+-*/%&|^<>' | b | v | o | x
 U: P | Pre U | Lambda
 Pre: '+-!~' 
@@ -855,13 +856,13 @@ Op: '+-*/%<>!~^&|' | b | <INDEX> | <INDEX> '=' | p | x | '+-!~' '@' | a | o
 Path: i | Path c i | c i
 Any: @ANY@
 Args: | Arg | Arg ',' | Arg ',' Args | Ts
-Arg: E | '*' E | '*' | '&' E | '&' | x E | x | Label Ts E | Label | Strs ':' Ts E | E k Ts E | v | Cmd | not Expr | Lhs '=' Rhs | E k Cmd | Label Cmd
+Arg: E | '*' E | '*' | '&' E | '&' | x E | x | Label Ts E | Label | Strs ':' Ts E | E k Ts E | v | Cmd | not Expr1
 Label: i ':' | Any ':'
 Args1: Arg | Arg ',' Args1
-Cmd: Callee Args1 | Callee Args1 Do | Cmd '.' Meth | Cmd '.' Meth <ARGS> | P Do '.' Meth Args1 | E Bin Cmd | Lhs '=' Cmd | Lhs a Cmd | Cmd q Meth | E '?' Cmd ':' E
+Cmd: Callee Args1 | Callee Args1 Do | Cmd '.' Meth | Cmd '.' Meth <ARGS> | R Bin Cmd | Cmd q Meth
 Callee: i | P '.' Meth | P q Meth | P c i | yield | super
 Hash: | HItem | HItem ',' | HItem ',' Hash
-HItem: Label E | Label | Strs ':' E | E k E | x E | x | Label Cmd | E k Cmd
+HItem: Label E | Label | Strs ':' E | E k E | x E | x
 Params: | Ts | Param | Param ',' | Param ',' Params
 Params1: Param | Param ',' Params1
 Param: i | i '=' E | i ':' | i ':' E | '*' i? | x i? | x nil | '&' i? | <PARAMS> | v | <MLHS>
@@ -876,9 +877,8 @@ Pat1: U | v U | U v U? | Path | Path <PAT> | <PAT> | '^' i | '^' <ARGS> | nil |
 HPats: HPats1 |
 HPats1: HPat | HPat ',' | HPat ',' HPats1
 HPat: Label Pat? | Strs ':' Pat? | x i | x nil
-""".replace("@ANY@", " | ".join(_RUBY_RESERVED)).replace("| Block1 Args1\nBlock1: yield", ""),
+""".replace("@ANY@", " | ".join(_RUBY_RESERVED)),
 }
-LANGUAGES["ruby"]["grammar"] = LANGUAGES["ruby"]["grammar"].replace("E '?' E ':' E | U v | v U | E '?' E Lab E", "E '?' E ':' E | U v | v U").replace("\nLab: ':'", "")
 
 _WORD_CHAR = r"[^\s;&|<>()\"'`$\\]"
 _SUB = r"\$\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)|\$\((?:[^()\"'\\]|\\[\s\S]|\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'|\((?:[^()]|\([^()]*\))*\))*\)|\$\{(?:[^{}]|\{[^{}]*\})*\}|`[^`]*`|\$[\w@*#?$!-]"
