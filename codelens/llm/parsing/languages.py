@@ -483,8 +483,8 @@ LANGUAGES["rust"] = {
     "[": {"INDEX": "Index", "TREE": "Tree", "TYPES": "TArray", "PATS": "Pats"},
     "{": {"BLOCK": "Block", "ITEMS": "Items", "FIELDS": "Fields", "ENUM": "Enum", "ARMS": "Arms", "LIT": "Lit", "USES": "Uses", "TREE": "Tree", "PATS": "PFields"},
     "starts": ("Unit",),
-    "islands": ("Stmt", "Item", "Arm"),
-    "stops": ";," + BRACES,
+    "islands": ("Stmt", "Item", "Arm", "Last"),
+    "stops": ";" + BRACES,
     "grammar": """
 E: U | E Bin U | E as T | E v U? | v U? | Closure | return E? | break E? | break l E? | continue l? | E Bin Tail | let Pat '=' E | Attr E
 Tail: Closure | return E? | break l? E? | continue l? | v U?
@@ -554,7 +554,8 @@ Items: | Item Items
 Item: Attr* Vis? Item1 | '#' '!' <TREE> | Path '!' i? <TREE> ';'? | Attr+ Path '!' i? <TREE> ';'?
 Item1: default? FnHead <BLOCK> | default? FnHead ';' | struct i TParams? Where? <FIELDS> | struct i TParams? <FIELDS> Where? ';' | struct i TParams? Where? ';' | union i TParams? Where? <FIELDS> | enum i TParams? Where? <ENUM> | unsafe? auto? trait i TParams? TBound? Where? <ITEMS> | trait i TParams? '=' Bounds Where? ';' | default? unsafe? impl TParams? '!'? T Where? <ITEMS> | default? unsafe? impl TParams? const? '!'? T for T Where? <ITEMS> | use Use ';' | unsafe? mod i ';' | unsafe? mod i <ITEMS> | default? const i TParams? ':' T '=' E ';' | const i ':' T ';' | static mut? i ':' T '=' E ';' | static mut? i ':' T ';' | default? type i TParams? TBound? Where? '=' T Where? ';' | type i TParams? TBound? Where? ';' | extern crate i ';' | extern crate self as i ';' | extern crate i as i ';' | unsafe? extern s? <ITEMS>
 TBound: ':' Bounds
-Block: | Stmt Block | Attr* E
+Block: | Stmt Block | Last
+Last: Attr* E eof
 Stmt: ';' | Item | Attr* let Pat LType? ';' | Attr* let Pat LType? '=' E ';' | Attr* let Pat LType? '=' E else <BLOCK> ';' | Attr* E ';' | Attr* Block1 | '#' '!' <TREE> | Attr* Block1 '.' i
 LType: ':' T
 Tree: Any*
