@@ -22,6 +22,8 @@ BAD = "\x01"
 #: A worker forgets tokens and parses when it knows so many; only speed depends on it.
 CACHE = 300_000
 CLASSES = {c: c for c in "nsbapkrcdvqwxlohtg"}
+#: A declared encoding of a Python file, in one of its first two lines.
+CODING = re.compile(rb"(?:[ \t\f]*(?:#[^\n]*)?\n)?[ \t\f]*#[^\n]*?coding[:=][ \t]*([-\w.]+)")
 FIRST_INDENT, INDENTS = 0x20000, 0x10000
 
 
@@ -347,6 +349,11 @@ def valid(content: bytes | None, path: str | None, language: str | None) -> bool
         return None
     if not content:
         return True
+    if name == "python" and (declared := CODING.match(content)):
+        try:
+            return checker(name).valid(content.decode(declared.group(1).decode("ascii")))
+        except (UnicodeDecodeError, LookupError):
+            return False
     try:
         text = content.decode("utf-8")
     except UnicodeDecodeError:

@@ -125,7 +125,7 @@ def _fields(lang, body: str, raw: bool, spec: bool = False) -> list[str] | None:
             code = code[:-1]
         if not code.strip():
             return None
-        out.append("(" + code + ")" if python and not code.lstrip().startswith("yield") else code)
+        out.append("(" + code + "\n)" if python and not code.lstrip().startswith("yield") else code)
         if body[end] == "!":
             m = re.compile(r"![ ]*[rsa][ ]*(?=[:}])").match(body, end)
             if m is None:
@@ -297,26 +297,20 @@ def rewritten(lang, text: str):
                 yield out[0]
     elif name in ("python", "csharp", "ruby") and START[name].search(text):
         out, at, done = [], 0, 0
-        while at < len(text):
-            if m := START[name].match(text, at):
-                end = literal_end(lang, text, m)
-                if end < 0:
-                    return
-                body = text[m.end() : end - len(m.group(1))]
-                if name == "ruby":
-                    found = _holes(lang, body, "#{")
-                else:
-                    found = _fields(lang, body, name == "csharp" or "r" in m.group().lower())
-                if found is None or not all(lang.fragment(f) or any(map(lang.fragment, rewritten(lang, f))) for f in found):
-                    return
-                out += [text[done:at], '""']
-                at = done = end
-                continue
-            m = lang.many.search(text, at)
+        while token := lang.many.search(text, at):
+            at = token.end()
+            m = START[name].match(text, token.start())
             if m is None:
-                break
-            s = START[name].search(text, at, m.start() + 1)
-            at = s.start() if s and s.start() > at and s.start() <= m.start() else m.end()
+                continue
+            end = literal_end(lang, text, m)
+            if end < 0:
+                return
+            body = text[m.end() : end - len(m.group(1))]
+            found = _holes(lang, body, "#{") if name == "ruby" else _fields(lang, body, name == "csharp" or "r" in m.group().lower())
+            if found is None or not all(lang.fragment(f) or any(map(lang.fragment, rewritten(lang, f))) for f in found):
+                return
+            out += [text[done : token.start()], '""']
+            at = done = end
         yield "".join(out) + text[done:]
     elif name == "bash" and '"' in text:
         out, at, done = [], 0, 0
