@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codelens.functions.filters import may_match
 
-#: Hash slots by which a basket's distinct items are bounded from below before any basket is gathered.
+#: Words of hash slots by which a basket's distinct items are bounded from below before any basket is gathered; more for larger limits.
 SLOT_WORDS = 4
 
 
@@ -27,14 +27,14 @@ def pair_counts(
     An oversized basket is recognised by a bitmap of item hashes, combined on the map side, so it is never gathered.
     """
     rows = df.select(F.col(basket).alias("b"), F.col(item).alias("i")).where(F.col("b").isNotNull() & F.col("i").isNotNull())
-    # of 64 * SLOT_WORDS slots more than most_items are taken: surely too many items, whatever their number
-    if most_items < 64 * SLOT_WORDS:
-        busy = rows.groupBy(F.xxhash64("b").alias("hb")).agg(F.count("*").alias("k")).where(F.col("k") > most_items).select("hb")
-        slot, bit = F.pmod(F.xxhash64("i"), F.lit(64 * SLOT_WORDS)), F.expr("shiftleft(1L, cast(pmod(xxhash64(i), 64) as int))")
-        bits = [F.bit_or(F.when(F.floor(slot / 64) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(SLOT_WORDS)]
-        taken = sum((F.bit_count(f"w{w}") for w in range(SLOT_WORDS)), F.lit(0))
-        huge = may_match(rows, F.xxhash64("b"), busy, F.col("hb")).groupBy("b").agg(*bits).where(taken > most_items).select("b")
-        rows = rows.join(huge, "b", "left_anti")
+    # of the slots, twice as many as items at least, more than most_items are taken: surely too many items, whatever their number
+    words = max(SLOT_WORDS, -(-most_items // 32))
+    busy = rows.groupBy(F.xxhash64("b").alias("hb")).agg(F.count("*").alias("k")).where(F.col("k") > most_items).select("hb")
+    slot, bit = F.pmod(F.xxhash64("i"), F.lit(64 * words)), F.expr("shiftleft(1L, cast(pmod(xxhash64(i), 64) as int))")
+    bits = [F.bit_or(F.when(F.floor(slot / 64) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(words)]
+    taken = sum((F.bit_count(f"w{w}") for w in range(words)), F.lit(0))
+    huge = may_match(rows, F.xxhash64("b"), busy, F.col("hb")).groupBy("b").agg(*bits).where(taken > most_items).select("b")
+    rows = rows.join(huge, "b", "left_anti")
     if known is not None:
         rows = rows.join(known.select(F.col(basket).alias("b")).distinct(), "b", "left_semi")
     baskets = rows.groupBy("b").agg(F.collect_set("i").alias("items")).where(F.size("items") <= most_items)

@@ -6,7 +6,8 @@ many tokens of each pattern go to each source: the r-th use of a pattern's token
 spread as thinly as possible (convex costs), and no source takes a pattern more than its max_repeats times. The total is
 the given one or the largest at which all sources that have documents meet their quotas. Documents of a pattern, in a
 seeded order, lie on a circle of the pattern's tokens; each source takes an arc, and a document is used once for
-each time an arc passes its first token.
+each time it lies on the arc. What is left open at an arc's end is filled with documents that fit and have uses left, the largest
+first, at last one that exceeds it by less than is open: a source misses its quota by at most half of the smallest of them.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
         arcs, routed = [], []
         for p in have:
             uses = max((targets[s][1] for s in p if s in targets), default=0)
-            arcs += [(0, at[p], patterns[p], r) for r in range(min(uses, 64))] + ([(0, at[p], patterns[p] * (uses - 64), 64)] if uses > 64 else [])
+            arcs += [(0, at[p], patterns[p], r) for r in range(uses)]
             for s in p:
                 if s in quota:
                     routed.append((len(arcs), p, s))
@@ -124,12 +125,41 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", sources: s
     before = before.withColumn("__base", F.sum("__sum").over(Window.partitionBy("__p").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("__sum")
     w = Window.partitionBy("__p", "__bucket").orderBy("__h", "__k").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("__in", F.coalesce(F.sum("__n").over(w), F.lit(0))).join(before, ["__p", "__bucket"]).withColumn("__at", F.coalesce("__base", F.lit(0)) + F.col("__in"))
-    # uses of a document: multiples k with from <= at + k * len < to
-    passed = lambda c: F.ceil((F.col(c) - F.col("__at")) / F.col("__len"))
-    b = b.join(small(arcs, "__p string, source string, __from bigint, __to bigint"), "__p").withColumn("copies", (F.greatest(passed("__to"), F.lit(0)) - F.greatest(passed("__from"), F.lit(0))).cast("int"))
+    # uses of a document: multiples k with from <= at + k * len and at + k * len + n <= to
+    b = b.join(small(arcs, "__p string, source string, __from bigint, __to bigint"), "__p")
+    b = b.withColumn("copies", F.greatest(F.floor((F.col("__to") - F.col("__n") - F.col("__at")) / F.col("__len")) - F.ceil((F.col("__from") - F.col("__at")) / F.col("__len")) + 1, F.lit(0)).cast("int"))
+    b = cut(b.select("__p", "__k", "__h", "__n", "__at", "__len", "source", "copies"))
+    used = {(r["__p"], r["source"]): r["n"] for r in b.groupBy("__p", "source").agg(F.sum(F.col("__n") * F.col("copies")).alias("n")).collect()}
+    gaps = [(p, s, z - a - used.get((p, s), 0), max(want[x][1] for x in p.split("\x1f")), want[s][1]) for p, s, a, z in arcs]
+    extra = _fill(b, small(gaps, "__p string, source string, __gap bigint, __uses int, __most int"), {(p, s): g for p, s, g, _, _ in gaps})
+    if extra:
+        more = small(extra, f"__p string, source string, __at bigint, __k {docs.schema[key].dataType.simpleString()}, __one int")
+        b = b.join(more, ["__p", "source", "__at", "__k"], "left").withColumn("copies", F.col("copies") + F.coalesce("__one", F.lit(0)))
     return b.where("copies > 0").select(F.col("__k").alias(key), "source", "copies", F.col("__n").alias("n_tokens"))
 
 
+#: Of the documents that may fill an arc's end so many of each power of two of tokens come to the driver, by hash.
+FILLERS = 16
+
+
+def _fill(b: DataFrame, gaps: DataFrame, left: dict[tuple[str, str], int]) -> list[tuple]:
+    """(pattern, source, place, key, 1) of the documents that fill what is left of each arc: those with uses left in
+    this source and in all. Their number is bounded by arcs, powers of two and FILLERS."""
+    total = F.sum("copies").over(Window.partitionBy("__p", "__at", "__k"))
+    c = b.join(gaps, ["__p", "source"]).withColumn("__total", total).where((F.col("__n") < 2 * F.col("__gap")) & (F.col("__total") < F.col("__uses")) & (F.col("copies") < F.col("__most")))
+    w = Window.partitionBy("__p", "source", F.floor(F.log2("__n"))).orderBy("__h", "__k", "__at")
+    rows = c.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= FILLERS).select("__p", "source", "__at", "__k", "__n").collect()
+    left, taken, out = dict(left), set(), []
+    order = sorted(rows, key=lambda r: (-r["__n"], r["__at"]))
+    for r, over in [(r, False) for r in order] + [(r, True) for r in order[::-1]]:  # at last one that misses by less on the other side
+        at, place = (r["__p"], r["source"]), (r["__p"], r["__at"], r["__k"])
+        if (r["__n"] < 2 * left[at] if over else r["__n"] <= left[at]) and place not in taken:
+            left[at] -= r["__n"]
+            taken.add(place)
+            out.append((r["__p"], r["source"], r["__at"], r["__k"], 1))
+    return out
+
+
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Each listed source: target_share, documents, tokens and actual_share of the mixture, and its most used document's uses."""
     got = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_uses"))

@@ -78,14 +78,16 @@ def cut(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[int, in
                 cuts.append(max(range(lo, hi + 1), key=lambda j: (power[j], -abs(tokens[j] - t), -j)))
         cuts.append(m)
         out = []
-        for a, b in zip(cuts, cuts[1:]):
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
             s = a
             if a:
-                s = max(cuts[cuts.index(a) - 1] + 1, bisect_left(tokens, tokens[a] - overlap))
+                s = max(cuts[i - 1] + 1, bisect_left(tokens, tokens[a] - overlap))
                 best = next((j for j in range(s, a) if power[j] >= 1), s)
                 s = best if tokens[a] - tokens[best] >= overlap // 2 else s
                 while s < a and enc.count(text[chars[s] : chars[a]]) > overlap:
                     s += 1
+                while k >= m and s < a and enc.count(text[chars[s] : chars[b]]) > limit:
+                    s += 1  # no more pieces are possible: repeat less
             out.append((chars[s], chars[b], chars[a] - chars[s], enc.count(text[chars[s] : chars[b]])))
         if all(x[3] <= limit for x in out) or k >= m:
             return out

@@ -110,3 +110,15 @@ def test_mixture_of_overlapping_sources(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
     got = {r.source: r.actual_share for r in mixing.shares(mixing.mixture(df, targets), targets).collect()}
     assert abs(got["a"] - 0.5) < 0.01
+
+
+def test_shares_meet_targets_with_documents_of_very_different_sizes(spark):
+    """What a source misses is bounded by its smallest document, however long the others are."""
+    rng = random.Random(11)
+    docs = [(i, rng.choice("aab"), rng.choice([1, 2, 3, 5, 8, 40, 900, 7000])) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 3)], "source string, target_share double, max_repeats int")
+    rows = mixing.mixture(df, targets).collect()
+    tokens = {s: sum(r.copies * r.n_tokens for r in rows if r.source == s) for s in "ab"}
+    assert all(r.copies <= {"a": 2, "b": 3}[r.source] for r in rows)
+    assert abs(tokens["a"] - 0.3 * sum(tokens.values())) <= 2 and abs(tokens["b"] - 0.7 * sum(tokens.values())) <= 2
