@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens.operators import changed as op
+from codelens.sources.checkpoints import ensure_folder
 from codelens.sources.tables import table
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Files and chunks that are new or changed since the last successful run."""
+    """Files and chunks that are new or changed since the last successful run.
+
+    The upper limit is the greatest run at the start. A fresh pipeline first commits the state at the last successful run (an
+    engine that runs on keeps it from one run to the next and skips this), then the changes of the runs after it, read with
+    the limits in the scan, together with the new watermark; the committed changes are the result.
+    """
+    ensure_folder(spark)
+    progress = op.Progress(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/changed-{uuid.uuid4().hex}")
     since = op.last_success(table(spark, d, "sync_runs"))
-    files = op.changed(table(spark, d, "parsed_files"), ["rel_path"], "file_hash", "parsed_at", since)
-    chunks = op.changed(table(spark, d, "symbols"), ["file_path", "symbol_name", "chunk_index"], "content_hash", "created_at", since)
-    files = files.select(F.lit("file").alias("unit"), F.col("rel_path").alias("file_path"), F.lit("").alias("symbol_name"), F.lit(-1).alias("chunk_index"))
-    return files.unionByName(chunks.select(F.lit("symbol").alias("unit"), "file_path", "symbol_name", "chunk_index"))
+    units = {"files": ("parsed_files", ["rel_path"], "file_hash", "parsed_at"), "chunks": ("symbols", ["file_path", "symbol_name", "chunk_index"], "content_hash", "created_at")}
+    limits = [table(spark, d, name).agg(F.max("run_id").alias("m")) for name, *_ in units.values()]
+    upto = limits[0].union(limits[1]).agg(F.max("m")).first()[0]
+    upto = max(x for x in (since, upto, 0) if x is not None)
+    progress.run(since, lambda _, at: {f"state_{u}": op.state_of(table(spark, d, name), keys, digest, time, at) for u, (name, keys, digest, time) in units.items()})
+    kept = {u: progress.read(f"state_{u}") for u in units}
+
+    def step(before: int | None, at: int) -> dict[str, DataFrame]:
+        moved = {u: op.increment(table(spark, d, name), kept[u], keys, digest, time, before, at) for u, (name, keys, digest, time) in units.items()}
+        files = op.differing(moved["files"], "file_hash").select(F.lit("file").alias("unit"), F.col("rel_path").alias("file_path"), F.lit("").alias("symbol_name"), F.lit(-1).alias("chunk_index"))
+        chunks = op.differing(moved["chunks"], "content_hash").select(F.lit("symbol").alias("unit"), "file_path", "symbol_name", "chunk_index")
+        return {"changes": files.unionByName(chunks)}
+
+    if progress.run(upto, step) is None:  # nothing came after the last successful run
+        return spark.createDataFrame([], "unit string, file_path string, symbol_name string, chunk_index int")
+    return progress.read("changes")
 
 
 _P6 = """

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_folder(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
+    """Use the shared folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode only: on a cluster the
+    executors would not share it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

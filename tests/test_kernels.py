@@ -209,8 +209,8 @@ def test_changed(spark):
 
 def test_progress_survives_failures(spark, tmp_path):
     df = spark.createDataFrame([(f"k{i}", i % 5 + 1) for i in range(50)], "k string, run_id int")
-    p = changed.Progress(str(tmp_path))
-    make = lambda since, upto: df.where((F.col("run_id") > (since or 0)) & (F.col("run_id") <= upto))
+    p = changed.Progress(spark, str(tmp_path))
+    make = lambda since, upto: {"new": df.where((F.col("run_id") > (since or 0)) & (F.col("run_id") <= upto))}
 
     def broken(since, upto):
         raise RuntimeError("lost")
@@ -219,13 +219,54 @@ def test_progress_survives_failures(spark, tmp_path):
     with pytest.raises(RuntimeError):
         p.run(4, broken)
     assert p.watermark() == 2
+
+    class Dies:  # the outputs are written, the commit is not
+        def rename(self, *a):
+            raise RuntimeError("lost between write and commit")
+
+    alive, p._files = p._files, Dies()
+    with pytest.raises(RuntimeError):
+        p.run(4, make)
+    p._files = alive
+    assert p.watermark() == 2 and len(list((tmp_path / "data").iterdir())) == 1
+    # another writer takes the next commit meanwhile
+    other = changed.Progress(spark, str(tmp_path))
+
+    def slow(since, upto):
+        other.run(3, make)
+        return make(since, upto)
+
+    with pytest.raises(Exception):
+        p.run(4, slow)
+    assert p.watermark() == 3
     p.run(4, make)
     assert p.run(4, make) is None
     p.run(5, make)
-    got = Counter(r.k for c in p.commits() for r in spark.read.parquet(c["data"]).collect())
+    got = Counter(r.k for c in p.commits() for r in spark.read.parquet(f"{c['data']}/new").collect())
     assert set(got.values()) == {1} and len(got) == 50
 
 
+def test_increments_add_up_to_the_whole(spark, tmp_path):
+    """Runs over increments and a kept state give what one comparison of the whole history gives."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None, "d"]), r, rng.choice(["x", "y", None]), r * 10 + rng.randrange(-15, 15)) for r in range(1, 7) for _ in range(6)]
+    df = spark.createDataFrame(rows, "k string, run_id int, h string, t int").selectExpr("k", "run_id", "h", "timestamp_seconds(t + 100) as at")
+    p, before = changed.Progress(spark, str(tmp_path)), None
+    for upto in (1, 3, 4, 6):
+
+        def make(since, at):
+            state = p.read("state")
+            state = changed.state_of(df, ["k"], "h", "at", None) if state is None else state
+            moved = changed.increment(df, state, ["k"], "h", "at", since, at)
+            return {"changes": changed.differing(moved, "h"), "state": moved.select("k", "__last")}
+
+        p.run(upto, make)
+        got = sorted((r.k for r in p.read("changes").collect()), key=str)
+        want = sorted((r.k for r in changed.changed(df, ["k"], "h", "at", before, upto=upto).collect()), key=str)
+        assert got == want and len(set(got)) == len(got)
+        before = upto
+
+
 def test_may_match_loses_nothing(spark):
     df, keys = spark.range(5000).withColumnRenamed("id", "k"), spark.range(0, 5000, 7)
     kept = {r.k for r in filters.may_match(df, F.col("k"), keys, F.col("id")).collect()}
