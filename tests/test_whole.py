@@ -5,7 +5,6 @@ from collections import defaultdict
 
 import pytest
 
-from codelens.llm import names, origins
 from codelens.plans import registry
 
 Q = registry.queries()
@@ -114,19 +113,6 @@ def test_enriched_keeps_1500_bytes(spark, tmp_path):
     assert dict(rows(spark, "txt_19_enriched", str(tmp_path))) == want
 
 
-def test_origins_read_the_whole_text():
-    banner = "/*\n" + " * Permission is hereby granted, free of charge, to any person.\n" * 100 + " */\n"
-    code = "".join(f"function f{i}(a, b) {{\n  if (a > b) return a + {i};\n  return b.size * a\n}}\n" for i in range(3))
-    kind = lambda t, p="a.js": origins.kind_of(p, t.encode())
-    assert kind(banner + code) is None
-    assert kind(banner + "var m = __webpack_require__(3);\n" + code) == "minified"
-    assert kind(banner + 'Object.defineProperty(exports, "__esModule", { value: true });\nswitch (_a.label) {\n}\n' + code) == "minified"
-    assert kind(code + "// __webpack_require__ is a mark\n" + "var m = '__webpack_require__', n = \"parcelRequire\", o = `System.register([`;\n") is None
-    assert kind(banner.replace("*/", "* vendored from upstream\n */") + code) == "vendored"
-    assert kind(banner.replace("*/", "* Code generated by tool. DO NOT EDIT.\n */") + code) == "generated"
-    assert origins.notices((banner.replace("*/", "* This file is part of ours\n */") + code).encode()) == ["ours"]
-
-
 def test_files_over_a_megabyte_are_extracted(spark, tmp_path):
     code = lambda size: ("import os\n\ndef f(a):\n    if a:\n        return os\n" + "#" * size)[:size].encode()
     files = [("a.py", code(1_000_000)), ("b.py", code(1_000_001)), ("c.py", code(5 * 1024 * 1024)), ("d.py", code(5 * 1024 * 1024 + 1))]
@@ -136,24 +122,6 @@ def test_files_over_a_megabyte_are_extracted(spark, tmp_path):
     assert paths("par_6_cyclomatic") == paths("agg_6_complexity_rollup") == ["a.py"]
 
 
-def test_near_forms_take_the_best_and_compare_rare_ones(spark):
-    rows = [("robert", "sinifa", True), ("roberta", "sinifa", True), ("robret", "sinifa", False), ("leonard", "pojusto", False), ("leonrad", "pojusto", False), ("jon", "pojusto", False), ("ines", "bibriri", False)]
-    forms = spark.createDataFrame([(f"{a} {b}", a, b, t) for a, b, t in rows], "form string, first string, last string, attested boolean")
-    got = {tuple(r) for r in names.near_forms(forms, spark.createDataFrame([], "form string, to string")).collect()}
-    assert got == {("robret sinifa", "robert sinifa"), ("leonrad pojusto", "leonard pojusto")}
-
-
-def test_a_tie_of_near_forms_links_nobody(spark):
-    tie = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.9), ("d", "b", 0.95), ("d", "c", 0.9)], "form string, to string, score double")
-    assert [tuple(r) for r in names.leading(tie).collect()] == [("d", "b")]
-
-
-def test_organisations_that_no_domain_attests(spark):
-    rows = [("kuroki systems", False), ("kuroki system", False), ("relali works", True), ("relali work", False), ("abc", False), ("abd", False)]
-    got = {tuple(r) for r in names.org_near(spark.createDataFrame(rows, "form string, attested boolean")).collect()}
-    assert got == {("kuroki systems", "kuroki system"), ("relali work", "relali works")}
-
-
 def test_defect_inputs_keep_measured_complexity(spark):
     from codelens.operators import quality
     from tests.parity import DATA
