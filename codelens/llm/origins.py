@@ -20,16 +20,17 @@ from pyspark.sql import functions as F
 from codelens.llm.spans import Hashes, choices
 from codelens.sources.checkpoints import cut, spread
 
-#: Folders that hold third-party code, by convention.
-VENDOR_FOLDERS = ("vendor", "third_party", "thirdparty", "third-party", "node_modules", "bower_components", "godeps", "external", "extern", "deps", "site-packages", "pods", "carthage")
+#: Folders that hold third-party code, by convention of package managers, and those that often do.
+VENDOR_FOLDERS = ("vendor", "third_party", "thirdparty", "third-party", "node_modules", "bower_components", "godeps", "site-packages", "pods", "carthage")
+OUTSIDE_FOLDERS = ("external", "extern", "deps")
 #: Folders and file names of tools' output, by convention.
 OUTPUT_PATH = re.compile(
-    r"(?:^|/)(?:gen|generated|autogen|__generated__|dist|build/out|public/assets)/|(?:_pb2(?:_grpc)?\.pyi?|\.pb\.\w+|_pb\.\w+|[._]generated\.\w+|\.designer\.cs|\.g\.cs|outerclass\.java|grpc\.java|\.tab\.[ch]|\.yy\.c|_easyjson\.go|_string\.go|_gen\.\w+|\.gen\.\w+|\.(?:min|bundle|chunk)\.\w+)$|(?:^|/)(?:mock|zz)_\w+\.go$",
+    r"(?:^|/)(?:gen|generated|autogen|__generated__|dist|build/out|public/assets)/|(?:_pb2(?:_grpc)?\.pyi?|\.pb\.\w+|_pb\.\w+|[._]generated\.\w+|\.designer\.cs|\.g\.cs|outerclass\.java|grpc\.java|\.pb-c\.[ch]|\.tab\.[ch]|\.yy\.c|_easyjson\.go|_string\.go|_gen\.\w+|\.gen\.\w+|\.(?:min|bundle|chunk)\.\w+)$|(?:^|/)(?:mock|zz)_\w+\.go$",
     re.I,
 )
 #: Notices that tools put into what they write.
 TOOL_NOTICE = re.compile(
-    r"\bcode generated\b.*\bdo not edit\b|\b(?:file|source|code|class|module)\b[^.]{0,40}\b(?:was|is|has been)\b[^.]{0,20}\b(?:generated|produced|created)\b.*\b(?:by|from)\b"
+    r"\bcode generated\b.*\bdo not edit\b|\b(?:file|source|code|class|module)\b[^.]{0,40}\b(?:was|is|has been)\b[^.]{0,20}\b(?:generated|produced)\b.*\b(?:by|from)\b"
     r"|\bauto-?generated file\b|<auto-?generated|^\W*@generated(?: (?:by|from)\b.*|\W*)$|\b(?:automatically|auto-?) ?(?:generated|created|produced) by\b|\bgenerated by\b.*\bdo not (?:edit|modify)\b|\bdo not (?:edit|modify)\b.*\b(?:generated|produced) (?:by|from)\b",
     re.I,
 )
@@ -42,6 +43,8 @@ SILENT = re.compile(r"""/\*[\s\S]*?\*/|//[^\n]*|^[ \t]*#[^\n]*|(["'])__esModule\
 NOTICE_OF = re.compile(r"Copyright \(c\) (?:the )?([\w.-]+)(?: contributors| authors|\b)|This file is part of ([\w-]+)|^\W*([\w-]+) - all rights reserved", re.M)
 COMMENT = re.compile(rb"/\*[\s\S]*?\*/|(?://|^[ \t]*#(?!include|define|if|endif|else)|^[ \t]*--)[^\n]*", re.M)
 LITERAL = re.compile(r'"[A-Za-z0-9+/=_\\x-]{200,}"|\'[A-Za-z0-9+/=_\\x-]{200,}\'')
+#: Marks of the source line that a tool's output line comes from.
+LINE_MARK = re.compile(r"^[ \t]*(?:#line[ \t]+\d+|//line [\w./-]+:\d+|# \d+ \")", re.M)
 GRAM, WINDOW = 48, 112
 
 
@@ -93,17 +96,30 @@ def bundled(text: str) -> bool:
     return marked(text) and marked(SILENT.sub(lambda m: m[0] if m[1] else " ", text))
 
 
+def claim_of(path: str | None, content: bytes | None) -> str | None:
+    """What a file says of its origin: notice (a copy's notice in the leading comment), place (a package manager's folder), outside (a
+    folder that often holds third-party code); None if nothing."""
+    folders = {part.lower() for part in (path or "").replace("\\", "/").split("/")[:-1]}
+    if content and any(COPY_NOTICE.search(x) for x in leading_comment(content.decode("utf-8", "replace"))):
+        return "notice"
+    return "place" if folders & set(VENDOR_FOLDERS) else "outside" if folders & set(OUTSIDE_FOLDERS) else None
+
+
 def kind_of(path: str | None, content: bytes | None) -> str | None:
-    """generated, minified, vendored or data by the file alone; None for what a person may have written."""
-    p = (path or "").replace("\\", "/")
-    if any(part.lower() in VENDOR_FOLDERS for part in p.split("/")[:-1]):
+    """generated, minified, vendored (by a notice or place) or data by the file alone; None for what a person may have written."""
+    if claim_of(path, content) in ("notice", "place"):
         return "vendored"
+    return made_of(path, content)
+
+
+def made_of(path: str | None, content: bytes | None) -> str | None:
+    """generated, minified or data; None for what a person may have written. Repetition tells a tool's output only together with a
+    tool's file name or line marks: people write tables and lists of routes too."""
+    p = (path or "").replace("\\", "/")
     if not content:
         return None
     text = content.decode("utf-8", "replace")
     head = leading_comment(text)
-    if any(COPY_NOTICE.search(x) for x in head):
-        return "vendored"
     if any(TOOL_NOTICE.search(x) for x in head):
         return "generated"
     size, lines = len(text), text.count("\n") + 1
@@ -124,8 +140,7 @@ def kind_of(path: str | None, content: bytes | None) -> str | None:
         number_chars = sum(map(len, re.findall(r"(?<![A-Za-z_.])(?:0x[0-9a-fA-F]+|\d[\w.:-]*)[ \t]*,?", text)))
         if number_chars > 0.55 * (size - text.count("    ") * 4):
             return "data"
-    again = repetition(text)
-    if again >= (0.5 if output else 0.8):
+    if (output or LINE_MARK.search(text)) and repetition(text) >= 0.5:
         return "generated"
     return None
 
@@ -157,25 +172,31 @@ def notices(content: bytes | None) -> list[str]:
 
 
 def classify(df: DataFrame, key: str = "file_id", repo: str = "repo", path: str = "path", content: str = "content", least_repos: int = 5, least_share: float = 0.8) -> DataFrame:
-    """(key, kind) of each generated, minified, vendored or data file, one row per key.
+    """(key, kind, evidence) of each generated, minified, vendored or data file, one row per key.
 
     Repeated rows of a key are copies of one file; null and empty contents are judged by path; null repositories are one.
     Fingerprints are counted over all files: a file is a vendored copy if at least `least_share` of its fingerprints (three at
-    least) occur in `least_repos` or more repositories. Fingerprints of all files stay distributed.
+    least) occur in `least_repos` or more repositories (evidence: fingerprints), unless its notice names its own repository. One
+    in a folder for outside code is one if its notice doesn't name its own repository (outside); a copy's notice and a package
+    manager's folder are believed (notice, place). Fingerprints of all files stay distributed.
     """
-    schema = f"key {df.schema[key].dataType.simpleString()}, repo bigint, kind string, own boolean, prints array<bigint>"
+    schema = f"key {df.schema[key].dataType.simpleString()}, repo bigint, kind string, claim string, own boolean, prints array<bigint>"
 
     def run(batches):
         for b in batches:
             paths, repos, texts = b["path"].tolist(), b["name"].tolist(), b["content"].tolist()
             own = [(r or "") in notices(c) for r, c in zip(repos, texts)]
-            yield pd.DataFrame({"key": b["key"], "repo": b["repo"], "kind": [kind_of(p, c) for p, c in zip(paths, texts)], "own": own, "prints": fingerprints(texts)})
+            yield pd.DataFrame({"key": b["key"], "repo": b["repo"], "kind": [made_of(p, c) for p, c in zip(paths, texts)], "claim": [claim_of(p, c) for p, c in zip(paths, texts)], "own": own, "prints": fingerprints(texts)})
 
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.xxhash64(repo), F.lit(0)).alias("repo"), F.col(repo).cast("string").alias("name"), F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
     rows = cut(spread(rows).mapInPandas(run, schema))
-    open_ = rows.where("kind is null and not own and size(prints) >= 3")
+    open_ = rows.where("not own and size(prints) >= 3")
     common = rows.select("repo", F.explode("prints").alias("p")).groupBy("p", "repo").agg(F.lit(1).alias("one")).groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= least_repos).select("p")
     hits = open_.select("key", F.size("prints").alias("all"), F.explode("prints").alias("p")).join(common, "p", "left_semi").groupBy("key", "all").agg(F.count_distinct("p").alias("n"))
-    copies = hits.where(F.col("n") >= least_share * F.col("all")).select("key", F.lit("vendored").alias("kind"))
-    plain = rows.where("kind is not null").groupBy("key").agg(F.min("kind").alias("kind"))
-    return plain.unionByName(copies.distinct()).withColumnRenamed("key", key)
+    hits = hits.where(F.col("n") >= least_share * F.col("all")).select("key", F.lit(True).alias("copied")).distinct()
+    files = rows.groupBy("key").agg(F.min("kind").alias("kind"), F.min("claim").alias("claim"), F.max("own").alias("own"))
+    found = files.join(hits, "key", "left")
+    evidence = F.when(F.col("copied"), "fingerprints").when(F.col("claim").isin("notice", "place") | ~F.col("own"), F.col("claim"))
+    found = found.select("key", "kind", evidence.alias("evidence")).where("kind is not null or evidence is not null")
+    kind = F.when(F.col("evidence").isNotNull(), "vendored").otherwise(F.col("kind"))
+    return found.select(F.col("key").alias(key), kind.alias("kind"), F.coalesce("evidence", F.lit("shape")).alias("evidence"))

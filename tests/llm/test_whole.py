@@ -35,3 +35,21 @@ def test_organisations_that_no_domain_attests(spark):
     rows = [("kuroki systems", False), ("kuroki system", False), ("relali works", True), ("relali work", False), ("abc", False), ("abd", False)]
     got = {frozenset(r) for r in names.org_near(spark.createDataFrame(rows, "form string, attested boolean")).collect()}
     assert got == {frozenset(("kuroki systems", "kuroki system")), frozenset(("relali work", "relali works"))}
+
+
+def test_hand_written_files_that_repeat():
+    """Lists of routes, constants, exports and rows that a person writes are no generated code; so isn't what people created."""
+    kind = lambda p, t: origins.kind_of(p, t.encode())
+    assert kind("app/urls.py", "from django.urls import path\n\nurlpatterns = [\n" + "".join(f'    path("a{i}/", views.show_{i}, name="a{i}"),\n' for i in range(20)) + "]\n") is None
+    assert kind("a/const.go", "package a\n\nconst (\n" + "".join(f'\tName{i} = "value{i}"\n' for i in range(20)) + ")\n") is None
+    assert kind("src/exports.ts", "".join(f'export {{ Part{i} }} from "./part{i}";\n' for i in range(20))) is None
+    assert kind("a/table.py", "ROWS = [\n" + "".join(f'    ("name{i}", "kind{i}", True),\n' for i in range(20)) + "]\n") is None
+    assert kind("a/Team.java", "/* This class was created by the web team. */\nclass Team {\n  int size() { return 3; }\n}\n") is None
+    assert kind("a/a_gen.go", "package a\n\nconst (\n" + "".join(f'\tName{i} = "value{i}"\n' for i in range(20)) + ")\n") == "generated"
+
+
+def test_outside_folders_need_no_word_against_them(spark):
+    body = "".join(f"function load{i}(a, b) {{\n  return b.filter((x) => x > a + {i});\n}}\n" for i in range(9))
+    rows = [(1, "acme", "acme/external/a.js", "// This file is part of acme\n" + body), (2, "acme", "acme/deps/b.js", "// This file is part of other\n" + body), (3, "acme", "acme/src/c.js", body)]
+    df = spark.createDataFrame([(k, r, p, t.encode()) for k, r, p, t in rows], "file_id int, repo string, path string, content binary")
+    assert {(r.file_id, r.kind, r.evidence) for r in origins.classify(df).collect()} == {(2, "vendored", "outside")}
