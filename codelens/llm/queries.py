@@ -54,6 +54,11 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("share", F.when(F.col("bytes") > 0, F.round(F.col("shared_bytes") / F.col("bytes"), 6)).otherwise(0.0))
 
 
+def p5_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Of each file that shares a span with a different content, how long a span (400 bytes, doubled) it shares."""
+    return spans.Spans(table(spark, d, "source_files")).levels().select(F.col("k").alias("file_id"), "longest")
+
+
 def _p7(spark: SparkSession, d: str) -> DataFrame:
     pairs = cooccurrence.pair_counts(table(spark, d, "file_changes"), "sha", "path", table(spark, d, "commits"), 100, 4, 0.3)
     return pairs.where("n_ab * n >= 3 * n_a * n_b")

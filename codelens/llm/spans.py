@@ -190,6 +190,28 @@ class Spans:
         shared = recurring(found, "h")
         return may_match(found, F.col("h"), shared, F.col("h")).join(shared, "h", "left_semi")
 
+    def levels(self) -> DataFrame:
+        """(k, longest): of each record that shares a span the greatest length * 2**i that some span shared with another content reaches.
+
+        Windows repeated at one length alone are extended to twice that length: two that follow each other make one, told apart by
+        both hashes, and only those that recur go on, until none survives. Contents are not read again.
+        """
+        length = self.length
+        alive = cut(self.windows().select("c1", "c2", "start", "h").distinct())
+        reached = [alive.groupBy("c1", "c2").agg(F.lit(length).alias("longest"))]
+        while True:
+            after = alive.select("c1", "c2", (F.col("start") - length).alias("start"), F.col("h").alias("next"))
+            twice = alive.join(after, ["c1", "c2", "start"]).select("c1", "c2", "start", F.xxhash64("h", "next").alias("h"))
+            length *= 2
+            alive = cut(twice.join(recurring(twice, "h"), "h", "left_semi"))
+            if alive.isEmpty():
+                break
+            reached.append(alive.groupBy("c1", "c2").agg(F.lit(length).alias("longest")))
+        all_ = reached[0]
+        for r in reached[1:]:
+            all_ = all_.unionByName(r)
+        return self.members.join(all_.groupBy("c1", "c2").agg(F.max("longest").alias("longest")), ["c1", "c2"]).select("k", "longest")
+
     def class_pairs(self, windows: DataFrame) -> DataFrame:
         """(a1, a2, b1, b2): pairs of different contents with a common span.
 

@@ -81,3 +81,22 @@ def test_shared_spans(spark, monkeypatch):
         assert {tuple(r) for r in s.pairs().collect()} == want
         assert {r.k: r.shared_bytes for r in s.shared().collect() if r.shared_bytes} == covered
     assert spans.Spans(spark.createDataFrame([], "file_id bigint, content binary")).pairs().collect() == []
+
+
+def test_spans_double_until_none_survives(spark):
+    """The greatest doubled length that two different contents share, against brute force."""
+    rng = random.Random(12)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    long, short = noise(700), noise(90)
+    files = {1: noise(50) + long + noise(30), 2: long[:650] + noise(200), 3: noise(100) + short, 4: short + noise(60), 5: noise(300), 6: long[100:430] + noise(9)}
+
+    def share(a, b, n):
+        return bool({a[i : i + n] for i in range(len(a) - n + 1)} & {b[i : i + n] for i in range(len(b) - n + 1)})
+
+    want = {}
+    for k, c in files.items():
+        for n in (80, 160, 320, 640, 1280):
+            if any(share(c, d, n) for j, d in files.items() if j != k):
+                want[k] = n
+    s = spans.Spans(spark.createDataFrame(list(files.items()), "file_id bigint, content binary"), length=80)
+    assert {r.k: r.longest for r in s.levels().collect()} == want == {1: 640, 2: 640, 3: 80, 4: 80, 6: 320}
