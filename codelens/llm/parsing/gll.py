@@ -62,9 +62,26 @@ class Grammar:
         self.islands, self.skip, self.stop = frozenset(islands), skip, re.compile(f"[{stops}]")
         self.memo: dict[tuple, tuple] = {}
         self.held = 0
+        self._merge()
         self._turn()
         self._first()
 
+    def _merge(self) -> None:
+        """Nonterminals that are single tokens only become sets of tokens where they are used: a look instead of a stack node."""
+        done: set[str] = set()
+        while True:
+            flat = {n: frozenset().union(*(a[0] for a in alts)) for n, alts in self.rules.items() if n not in done and n not in self.islands and alts and all(len(a) == 1 and isinstance(a[0], frozenset) and not (isinstance(a, Alternative) and a in self.barred) for a in alts)}
+            if not flat:
+                return
+            done |= flat.keys()
+            for name, alts in self.rules.items():
+                for i, a in enumerate(alts):
+                    if any(isinstance(s, str) and s in flat for s in a):
+                        new = Alternative(flat.get(s, s) if isinstance(s, str) else s for s in a)
+                        if isinstance(a, Alternative) and a in self.barred:
+                            self.barred[new] = self.barred.pop(a)
+                        alts[i] = new
+
     def _turn(self) -> None:
         """Rules that repeat on the right, A: b A | c, become A: B c with B: | B b, which are the same strings: a long list is then
         one stack node whose matches go on, not a node for each of its tails."""
@@ -228,6 +245,9 @@ class Grammar:
             while dot < size:
                 s = alt[dot]
                 if isinstance(s, str):
+                    c = text[pos]
+                    if not choices.get((s, c), True) and c != MORE and not (skip and c == NL):
+                        break  # nothing of it begins with this token
                     if call(s, pos, (alt, dot + 1, node[2])):
                         more = True
                     break

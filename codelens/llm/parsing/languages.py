@@ -826,26 +826,25 @@ U: P | Pre U | Lambda
 Pre: '+-!~' 
 Lambda: r LParams? <BLOCK> | r LParams? do Body end
 LParams: <PARAMS> | Params1
-P: i | n | Strs | self | nil | true | false | super | yield | retry | redo | <ARGS> | <STMTS> | <INDEX> | <HASH> | P <ARGS> | P <INDEX> | P '.' Meth | P q Meth | P '.' <ARGS> | P c Meth | c i | P <BLOCK> | P Do | Construct | Lambda | not <ARGS> | yield <ARGS> | super <ARGS> | return | break | next
+P: i | n | Strs | self | nil | true | false | super | yield | retry | redo | <ARGS> | <STMTS> | <INDEX> | <HASH> | P <ARGS> | P <INDEX> | P '.' Meth | P q Meth | P '.' <ARGS> | P c Meth | c i | P <BLOCK> | P do DoPipes? Body end | Construct | Lambda | not <ARGS> | yield <ARGS> | super <ARGS> | return | break | next
 Do: do DoPipes? Body end
 DoPipes: '|' Params? '|' | o | '|' Params? ';' Params '|'
 Strs: s | s Strs
 Meth: i | Any
-Construct: if Expr Then Stmts Elsifs end | unless Expr Then Stmts Elsifs end | while Expr Dos Stmts end | until Expr Dos Stmts end | for ForVars in Expr Dos Stmts end | case Expr? Ts Whens ElseP end | case Expr Ts Ins ElseP end | def DName DParams Body end | def DName <PARAMS>? '=' Ts Stmt | begin Body end | class Path Super? T Body end | class b Expr T Body end | module Path Body end
+Construct: if Expr Then Stmts end | if Expr Then Stmts Elsifs end | unless Expr Then Stmts end | unless Expr Then Stmts Elsifs end | while Expr Dos Stmts end | until Expr Dos Stmts end | for ForVars in Expr Dos Stmts end | case Expr? Ts Whens end | case Expr? Ts Whens else Stmts end | case Expr Ts Ins end | case Expr Ts Ins else Stmts end | def DName DParams Body end | def DName <PARAMS>? '=' Ts Stmt | begin Body end | class Path Super? T Body end | class b Expr T Body end | module Path Body end
 Super: '<' Expr
 ForVars: MItem | MItem ',' ForVars
 Then: T Ts ThenW? | then | 
 ThenW: then
 Dos: T | do | T do
-Elsifs: ElseP | elsif Expr Then Stmts Elsifs
-ElseP: | else Stmts
+Elsifs: else Stmts | elsif Expr Then Stmts | elsif Expr Then Stmts Elsifs
 Whens: When | When Whens
 When: when Args1 Then Stmts
 Ins: In | In Ins
 In: in TopPat Guard? Then Stmts
 Guard: if Expr | unless Expr
-Body: Stmts Rescues | Stmts
-Rescues: Rescue* ElseP Ensure?
+Body: Stmts | Stmts Rescues
+Rescues: Rescue | Rescue Rescues | else Stmts | else Stmts Ensure | Ensure
 Rescue: rescue Excs? ExcTo? Then Stmts
 Excs: Args1
 ExcTo: k Lhs
