@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -225,48 +226,71 @@ def inflected(x: str, y: str) -> bool:
 #: Least Jaro-Winkler similarity of the less similar of two names, by how many of both forms an address attests (none, one, both):
 #: where the other name is equal, and where both differ. Each address that spells a form speaks against a misspelling.
 LEAST_EQUAL, LEAST_BOTH = (0.84, 0.86, 0.92), (0.9, 0.93, 0.97)
-#: Blocks of more forms are divided by the first letters of both names and by their length; the test of names measures what this loses.
+#: Blocks of more forms are shared out among tasks; results don't depend on it.
 HOT_BLOCK = 2_000
 
 
+def letters(s: str) -> int:
+    """A bit for each letter that occurs; letters may share one."""
+    bits = 0
+    for c in s:
+        bits |= 1 << ord(c) % 63
+    return bits
+
+
 def blocks(forms: DataFrame, hot: int = HOT_BLOCK) -> DataFrame:
-    """(form, first, last, attested, key): the keys under which forms are compared: phonetic codes of the sorted tokens, or one name and
-    the other but for a letter. Keys are counted with map-side combine; hot ones are divided."""
+    """(form, first, last, attested, first_letters, last_letters, key, part, own): the keys under which forms are compared: phonetic
+    codes of the sorted tokens, or one name and the other but for a letter. Keys are counted with map-side combine.
+
+    The forms of a hot key are dealt to parts, and each two parts get a key of their own, so that every two forms still meet.
+    Forms of one part meet under the part's own key; under the others only those of different parts need comparing."""
 
     def codes(batches):
         for b in batches:
+            b["first_letters"], b["last_letters"] = [letters(f) for f in b["first"]], [letters(x) for x in b["last"]]
             b["code"] = ["|".join(sorted((phonetic(f), phonetic(x)))) for f, x in zip(b["first"], b["last"])]
             yield b
 
-    f = forms.select("form", "first", "last", "attested").mapInPandas(codes, "form string, first string, last string, attested boolean, code string")
+    f = forms.select("form", "first", "last", "attested").mapInPandas(codes, "form string, first string, last string, attested boolean, first_letters bigint, last_letters bigint, code string")
     keys = F.expr(f"concat(array(concat('P', code)), transform({_left_out('last')}, x -> concat('L', first, '|', x)), transform({_left_out('first')}, x -> concat('F', last, '|', x)))")
-    k = cut(f.select("form", "first", "last", "attested", F.explode(keys).alias("key")))
-    busy = k.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("busy"))
-    finer = F.concat_ws("|", "key", F.substring("first", 1, 1), F.substring("last", 1, 1), F.floor((F.length("first") + F.length("last")) / 3))
-    return k.join(busy, "key", "left").select("form", "first", "last", "attested", F.when(F.col("busy"), finer).otherwise(F.col("key")).alias("key"))
+    k = cut(f.withColumn("key", F.explode(keys)).drop("code"))
+    busy = k.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).alias("parts"))
+    k = k.join(busy, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("pmod(xxhash64(form), parts)"))
+    k = k.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return k.withColumn("key", F.concat_ws("|", "key", F.least("part", "other"), F.greatest("part", "other"))).withColumn("own", F.expr("part = other")).drop("parts", "other")
+
+
+def _most(x: str, y: str, in_x: str, in_y: str) -> str:
+    """At least the Jaro-Winkler similarity of two columns: letters that the other lacks match none, any order will do."""
+    m = f"least(length({x}) - bit_count({in_x} & ~{in_y}), length({y}) - bit_count({in_y} & ~{in_x}))"
+    jaro = f"(({m} / greatest(length({x}), 1) + {m} / greatest(length({y}), 1) + 1) / 3)"
+    same = "case " + " ".join(f"when left({x}, {i}) = left({y}, {i}) then {i}" for i in (4, 3, 2, 1)) + " else 0 end"
+    return f"case when {x} = {y} then 1 else {jaro} + {same} * 0.1D * (1 - {jaro}) end"
+
+
+def may_be_near() -> str:
+    """Whether two forms may be as similar as they must; leaves out no pair that is."""
+    equal, both = (f"element_at(array({', '.join(f'{x}D' for x in least)}), 1 + cast(attested as int) + cast(to_attested as int))" for least in (LEAST_EQUAL, LEAST_BOTH))
+    low = f"least({_most('first', 'to_first', 'first_letters', 'to_first_letters')}, {_most('last', 'to_last', 'last_letters', 'to_last_letters')})"
+    return f"{low} >= case when first = to_first or last = to_last then {equal} else {both} end - 1e-9D"
 
 
 def near_forms(forms: DataFrame, others: DataFrame) -> DataFrame:
     """(form, to): forms that spell another one's name, and the least form of their cluster.
 
     forms: form, first, last, attested (whether an address spells it); others: form, to by another reading of a nickname.
-    All forms of a block are compared by Jaro-Winkler, attested or not; how similar they must be depends on the addresses.
+    All forms of a block are compared by Jaro-Winkler, attested or not, whatever the block's size (pairs that lengths and letters rule
+    out are dropped first); how similar they must be depends on the addresses.
     A form that no address attests is linked to the most similar attested one (of equals, the first by name); accepted pairs are
     clustered by connected components.
     """
     k = blocks(forms)
-    to = k.select("key", F.col("form").alias("to"), F.col("first").alias("to_first"), F.col("last").alias("to_last"), F.col("attested").alias("to_attested"))
-    pairs = k.join(to, "key").where("form < to").drop("key").distinct()
+    to = k.select("key", F.col("part").alias("to_part"), F.col("form").alias("to"), *(F.col(c).alias(f"to_{c}") for c in ("first", "last", "attested", "first_letters", "last_letters")))
+    pairs = k.join(to, "key").where("form < to and (own or part <> to_part)").where(may_be_near())
+    pairs = pairs.select("form", "first", "last", "attested", "to", "to_first", "to_last", "to_attested").distinct()
 
     def compare(batches):
-        known: dict[tuple[str, str], float] = {}
-
-        def similar(x: str, y: str) -> float:
-            got = known.get((x, y))
-            if got is None:
-                got = known[x, y] = jaro_winkler(x, y)
-            return got
-
+        similar = lru_cache(1 << 18)(jaro_winkler)
         for b in batches:
             low, high = [], []
             for f, x, g, y in zip(b["first"], b["last"], b["to_first"], b["to_last"]):

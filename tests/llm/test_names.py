@@ -58,6 +58,38 @@ def test_division_of_hot_blocks_loses_little(spark):
     assert divided <= whole and len(divided) >= 0.95 * len(whole) > 50
 
 
+def test_results_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+    """All forms of a block meet, however it is divided: also those of other first letters and lengths."""
+    rng = random.Random(8)
+    made = lambda *x: "".join(rng.choice(y) for y in x)
+    rows = {("carlos", "berger"), ("karlos", "berger"), ("leonard", "pojusto"), ("leonhard", "pojusto")}
+    while len(rows) < 200:
+        rows.add((made("cgk", "aeiou", "l", "aeiou", ["", "a", "o"]), made("bpf", "ao", "r", "ao", "mn", "ao", ["", "e", "ia"])))
+    forms = [(f"{a} {b}", a, b, i % 3 == 0) for i, (a, b) in enumerate(sorted(rows))]
+    df = spark.createDataFrame(forms, "form string, first string, last string, attested boolean")
+    none = spark.createDataFrame([], "form string, to string")
+    whole, near, meet = names.blocks, [], []
+    for hot in (10**9, 30, 1):
+        k = names.cut(whole(df, hot))
+        monkeypatch.setattr(names, "blocks", lambda forms, k=k: k)
+        near.append({tuple(r) for r in names.near_forms(df, none).collect()})
+        meet.append({tuple(r) for r in k.join(k.select("key", F.col("form").alias("to")), "key").where("form < to").select("form", "to").distinct().collect()})
+    assert ("karlos berger", "carlos berger") in near[0] | {(b, a) for a, b in near[0]}
+    assert near[0] == near[1] == near[2] and meet[0] == meet[1] == meet[2] and len(meet[0]) > 10_000
+
+
+def test_bound_on_similarity_leaves_out_no_pair(spark):
+    rng = random.Random(9)
+    made = lambda: "".join(rng.choice("abcdeé'я") for _ in range(rng.randrange(0, 8)))
+    rows = []
+    for _ in range(4000):
+        x = made()
+        y = made() if rng.random() < 0.3 else "".join(rng.sample(x, len(x))) if rng.random() < 0.3 else x[: rng.randrange(8)] + rng.choice(["", "a", "я"]) + x[rng.randrange(1, 8) :]
+        rows.append((x, y, names.letters(x), names.letters(y), names.jaro_winkler(x, y)))
+    df = spark.createDataFrame(rows, "x string, y string, in_x bigint, in_y bigint, s double").withColumn("most", F.expr(names._most("x", "y", "in_x", "in_y")))
+    assert df.where("most < s - 1e-9 or most is null").collect() == [] and df.where("most < 0.84").count() > 500
+
+
 def test_a_shared_mailbox_links_nobody(spark):
     rows = [(1, "Ann Lee", "crew@x.example"), (2, "Bob Moss", "crew@x.example"), (3, "Cy Nord", "crew@x.example")]
     got = {r.contributor for r in names.contributors(spark.createDataFrame(rows, "identity_id bigint, author string, email string")).collect()}
