@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
-from codelens.llm import cooccurrence, spans, terms
+from codelens.llm import cooccurrence, queries, spans, terms
 
 
 def test_scores(spark):
@@ -25,6 +25,17 @@ def test_scores(spark):
     assert terms.scores(spark.createDataFrame([], "id bigint, enriched_text string")).collect() == []
 
 
+def test_shared_rare_terms_need_no_score(spark, tmp_path):
+    """Rows follow from the counts; scores, which are above 0 for every term, are not computed for them."""
+    texts = {1: "a a a b b b c c c", 2: "a b", 3: "b c c c c", 4: None, **{k: "b" for k in range(5, 10)}}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, enriched_text string")
+    assert df.count() == terms.scores(df).select("id").distinct().count() + 1 and terms.scores(df).where("not score > 0").collect() == []
+    df.write.parquet(f"{tmp_path}/symbols.parquet")
+    found = queries.p3_found(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, "a"), (1, "c"), (3, "c")}
+    assert "LOG2" not in found._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
 def brute_pairs(rows, known, most, least, ratio):
     baskets = defaultdict(set)
     for b, i in rows:
