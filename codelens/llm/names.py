@@ -263,9 +263,8 @@ def blocks(forms: DataFrame, hot: int = HOT_BLOCK) -> DataFrame:
 def _most(x: str, y: str, in_x: str, in_y: str) -> str:
     """At least the Jaro-Winkler similarity of two columns: letters that the other lacks match none, any order will do."""
     m = f"least(length({x}) - bit_count({in_x} & ~{in_y}), length({y}) - bit_count({in_y} & ~{in_x}))"
-    jaro = f"(({m} / greatest(length({x}), 1) + {m} / greatest(length({y}), 1) + 1) / 3)"
     same = "case " + " ".join(f"when left({x}, {i}) = left({y}, {i}) then {i}" for i in (4, 3, 2, 1)) + " else 0 end"
-    return f"case when {x} = {y} then 1 else {jaro} + {same} * 0.1D * (1 - {jaro}) end"
+    return f"case when {x} = {y} then 1 else 1 - (2 - {m} * (1D / greatest(length({x}), 1) + 1D / greatest(length({y}), 1))) / 3 * (1 - 0.1D * {same}) end"
 
 
 def may_be_near() -> str:
