@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 
 #: What stands behind the text: its end, or, in a prefix, tokens not looked at.
 END, MORE = "\0", "\x02"
@@ -41,9 +42,10 @@ class Alternative(tuple):
 
 
 class Grammar:
-    def __init__(self, text: str, chars: dict[str, str], roles: dict[str, set[str]], islands: tuple[str, ...] = (), stops: str = ";", skip: bool = False):
+    def __init__(self, text: str, chars: dict[str, str], roles: dict[str, set[str]], islands: tuple[str, ...] = (), stops: str = ";", skip: bool = False, blocks: str = ""):
         """chars: the characters of each keyword and token class; roles: filled while parsing, read by reference; stops: a
-        character class of tokens at which statements may end; skip: whether line ends may be passed over anywhere."""
+        character class of tokens at which statements may end; skip: whether line ends may be passed over anywhere; blocks: what
+        opens (group 1) and closes (group 2) blocks of words, or is a stop; only the choice of prefixes depends on it."""
         self.rules: dict[str, list[tuple]] = {}
         self.extra = 0
         self.barred: dict[Alternative, set[str]] = {}
@@ -60,9 +62,11 @@ class Grammar:
         if missing:
             raise ValueError(f"no rules for {sorted(missing)}")
         self.islands, self.skip, self.stop = frozenset(islands), skip, re.compile(f"[{stops}]")
+        self.blocks = re.compile(blocks) if blocks else None
         self.memo: dict[tuple, tuple] = {}
         self.held = 0
         self._merge()
+        self._chains()
         self._turn()
         self._first()
 
@@ -82,6 +86,29 @@ class Grammar:
                             self.barred[new] = self.barred.pop(a)
                         alts[i] = new
 
+    def _chains(self) -> None:
+        """Lists of statements: rules of tokens, islands and other such rules, with themselves at the end only. A loop follows them."""
+        fits: set[str] = set()
+
+        def plain(name: str, alt: tuple) -> bool:
+            barred = isinstance(alt, Alternative) and alt in self.barred
+            return not barred and all(not isinstance(s, str) or s in self.islands or s in fits or s == name and i == len(alt) - 1 for i, s in enumerate(alt))
+
+        while new := {n for n, alts in self.rules.items() if n not in fits and n not in self.islands and all(plain(n, a) for a in alts)}:
+            fits |= new
+        parts = {n: {s for a in self.rules[n] for s in a if isinstance(s, str)} for n in fits}
+        self.chains = {n for n in fits if parts[n] & self.islands}
+        while new := {n for n in fits - self.chains if parts[n] & self.chains} | {s for n in self.chains for s in parts[n] & fits} - self.chains:
+            self.chains |= new
+        #: Of a chain that repeats one island, maybe with another one as its end: the two, and whether the chain may be empty.
+        self.lists: dict[str, tuple] = {}
+        for n in self.chains:
+            forms = {tuple(a) for a in self.rules[n]}
+            again = [a[0] for a in forms if len(a) == 2 and a[1] == n and a[0] in self.islands]
+            last = [a[0] for a in forms if len(a) == 1 and a[0] in self.islands and a[0] not in again]
+            if len(again) == 1 and len(last) <= 1 and forms <= {(), (again[0], n), (again[0],), (*last,)} and (() in forms or (again[0],) in forms):
+                self.lists[n] = again[0], last[0] if last else None, () in forms
+
     def _turn(self) -> None:
         """Rules that repeat on the right, A: b A | c, become A: B c with B: | B b, which are the same strings: a long list is then
         one stack node whose matches go on, not a node for each of its tails."""
@@ -90,7 +117,7 @@ class Grammar:
             ends = lambda a: bool(a) and isinstance(a[-1], str) and a[-1] == name
             again = [a for a in alts if ends(a)]
             inside = any(isinstance(s, str) and s == name for a in alts for s in (a[:-1] if ends(a) else a))
-            if not again or inside or name in self.islands or any(a in self.barred for a in alts if isinstance(a, Alternative)):
+            if not again or inside or name in self.islands or name in self.chains or any(a in self.barred for a in alts if isinstance(a, Alternative)):
                 continue
             self.extra += 1
             front = f"_{self.extra}"
@@ -119,7 +146,7 @@ class Grammar:
         return tuple(out)
 
     def _first(self) -> None:
-        """Which rules match nothing, and the terminals that an alternative can begin with (kept as sets by reference)."""
+        """Which rules match nothing, and the terminals that an alternative can begin with and that may follow a rule (kept as sets by reference)."""
         self.empty: set[str] = set()
         grown = True
         while grown:
@@ -128,50 +155,127 @@ class Grammar:
                 if n not in self.empty and any(all(isinstance(s, str) and s in self.empty for s in a) for a in alts):
                     self.empty.add(n)
                     grown = True
-        begin: dict[str, dict[int, object]] = {n: {} for n in self.rules}
-        grown = True
-        while grown:
-            grown = False
-            for n, alts in self.rules.items():
-                for a in alts:
-                    for sets in self._begin(a, begin):
-                        if id(sets) not in begin[n]:
-                            begin[n][id(sets)] = sets
-                            grown = True
-        self.alts = {n: [(a if isinstance(a, Alternative) else Alternative(a), [*self._begin(a, begin)], all(isinstance(s, str) and s in self.empty for s in a)) for a in alts] for n, alts in self.rules.items()}
+        self.lists = {n: v for n, v in self.lists.items() if v[2] or v[0] not in self.empty}
+        # sets as bits
+        sets = [*{self._key(s): s for alts in self.rules.values() for a in alts for s in a if not isinstance(s, str)}.items()]
+        bit = {key: 1 << i for i, (key, _) in enumerate(sets)}
+        begin = dict.fromkeys(self.rules, 0)
+
+        def begins(alt: tuple) -> int:
+            out = 0
+            for s in alt:
+                if not isinstance(s, str):
+                    return out | bit[self._key(s)]
+                out |= begin[s]
+                if s not in self.empty:
+                    break
+            return out
+
+        def closure(table: dict[str, int], parts: list[tuple[str, int, list[str]]]) -> None:
+            """Each part: what its rule has at least, and the rules whose bits it takes over."""
+            grown = True
+            while grown:
+                grown = False
+                for n, own, others in parts:
+                    new = table[n] | own
+                    for o in others:
+                        new |= table[o]
+                    if new != table[n]:
+                        table[n] = new
+                        grown = True
+
+        fronts, tails = [], []
+        for n, alts in self.rules.items():
+            for a in alts:
+                own, others = 0, []
+                for s in a:
+                    if not isinstance(s, str):
+                        own = bit[self._key(s)]
+                        break
+                    others.append(s)
+                    if s not in self.empty:
+                        break
+                fronts.append((n, own, others))
+        closure(begin, fronts)
+        for n, alts in self.rules.items():
+            for a in alts:
+                behind, blank = 0, True  # what the symbols behind begin with, and whether they may be empty
+                for s in reversed(a):
+                    if isinstance(s, str):
+                        tails.append((s, behind, [n] if blank else []))
+                        behind = begin[s] | (behind if s in self.empty else 0)
+                        blank = blank and s in self.empty
+                    else:
+                        behind, blank = bit[self._key(s)], False
+        after = dict.fromkeys(self.rules, 0)
+        closure(after, tails)
+        lists: dict[int, list] = {}
+
+        def listed(mask: int) -> list:
+            if mask not in lists:
+                lists[mask] = [s for i, (_, s) in enumerate(sets) if mask >> i & 1]
+            return lists[mask]
+
+        self.alts = {n: [(a if isinstance(a, Alternative) else Alternative(a), listed(begins(a)), all(isinstance(s, str) and s in self.empty for s in a)) for a in alts] for n, alts in self.rules.items()}
+        self.after = {n: listed(mask) for n, mask in after.items()}
         self.choice: dict[tuple[str, str], list] = {}
+        self.follow: dict[tuple[str, str], bool] = {}
 
-    def _begin(self, alt: tuple, begin: dict) -> list:
-        out = []
-        for s in alt:
-            if not isinstance(s, str):
-                return [*out, s]
-            out.extend(begin[s].values())
-            if s not in self.empty:
-                break
-        return out
+    @staticmethod
+    def _key(s) -> object:
+        """Sets of tokens are told apart by what they hold, roles, which are filled later, by identity."""
+        return s if isinstance(s, frozenset) else id(s)
 
     def choices(self, name: str, c: str) -> list:
         """The alternatives of a nonterminal that can begin with the token. A token's roles never change, so choices are kept."""
         got = self.choice.get((name, c))
         if got is None:
-            got = [a for a, begins, empty in self.alts[name] if empty or any(c in b for b in begins)]
+            got = [a for a, begins, empty in self.alts[name] if empty and self.followed(name, c) or any(c in b for b in begins)]
             if self.barred:
                 got = [a for a in got if not (b := self.barred.get(a)) or c not in b and not ("{" in b and c >= BRACE)]
             self.choice[name, c] = got
         return got
 
+    def followed(self, name: str, c: str) -> bool:
+        """Whether the token may stand behind the nonterminal anywhere; where it may not, no match that ends there is of use."""
+        got = self.follow.get((name, c))
+        if got is None:
+            got = self.follow[name, c] = c in (END, MORE) or self.skip and c == NL or any(c in s for s in self.after[name])
+        return got
+
     def matches(self, starts: tuple[str, ...], text: str) -> set[str]:
         """Those of the start symbols that derive the whole text."""
         ends, _ = self._run(starts, text, True)
         return {s for s, e in zip(starts, ends) if len(text) in e}
 
-    def _prefixes(self, name: str, text: str, pos: int, n: int, final: bool) -> tuple:
+    def _outline(self, text: str) -> tuple[list[int], list[int]]:
+        """(positions, ends): a statement that begins behind one position, at the next one at the latest, probably reaches to the
+        end that belongs to the next: the first stop outside of the blocks opened since, or the word that closes the block around."""
+        events, depth = [], 0
+        for m in self.blocks.finditer(text):
+            events.append((m.start(), m.end(), depth, m.lastindex))
+            depth += (m.lastindex == 1) - (m.lastindex == 2)
+        nearest: dict[int, int] = {}
+        ends = []
+        for _, end, depth, kind in reversed(events):
+            if kind != 1:
+                nearest[depth] = end
+            ends.append(nearest.get(depth, len(text)))
+        return [e[0] for e in events], ends[::-1]
+
+    def _prefixes(self, name: str, text: str, pos: int, n: int, final: bool, outline: tuple | None, base: int) -> tuple:
         """(lengths that the nonterminal matches from pos, whether tokens behind n matter): by ever longer prefixes."""
         at, count, next_ = pos, 1, False
         while True:
             if next_:  # the token behind the first statement end may be all that it takes
                 end = min(at + 1, n)
+            elif outline:
+                for _ in range(count):
+                    k = bisect_left(outline[0], at + base)
+                    at = min(outline[1][k] - base, n) if k < len(outline[1]) else n
+                    if at == n:
+                        break
+                end = at
             else:
                 for _ in range(count):
                     m = self.stop.search(text, at, n)
@@ -184,7 +288,7 @@ class Grammar:
             key = (name, text[pos:end], final and last)
             got = self.memo.get(key)
             if got is None:
-                (ends,), more = self._run((name,), key[1], key[2])
+                (ends,), more = self._run((name,), key[1], key[2], outline, base + pos)
                 got = tuple(ends), more
                 self.held += end - pos
                 if self.held > MEMORY:
@@ -197,17 +301,108 @@ class Grammar:
             if not next_:
                 count *= 2
 
-    def _run(self, starts: tuple[str, ...], text: str, final: bool) -> tuple[list, bool]:
-        """(the ends of what each start symbol matches from the beginning, whether tokens behind the text matter)."""
+    def _walk(self, name: str, text: str, pos: int, n: int, final: bool, outline: tuple | None, base: int, out: set[int]) -> bool:
+        """Adds the ends of a chain that begins at pos; returns whether tokens behind n matter."""
+        more, skip, known = False, self.skip, {}
+        todo, seen = [pos], {pos}
+        if name in self.lists:
+            island, last, empty = self.lists[name]
+            choice, memo, search, outlined = self.choice, self.memo, self.stop.search, outline is not None
+            while todo:
+                at = todo.pop()
+                c = text[at]
+                if (empty or at != pos) and self.followed(name, c):
+                    out.add(at)
+                if last and (c == MORE or skip and c == NL or choice.get((last, c)) or self.choices(last, c)):
+                    got = self._prefixes(last, text, at, n, final, outline, base)
+                    more = more or got[1]
+                    out.update(at + e for e in got[0] if self.followed(name, text[at + e]))
+                if c != MORE and not (skip and c == NL) and not (choice.get((island, c)) or self.choices(island, c)):
+                    continue
+                m = None if outlined else search(text, at, n)
+                got = m and memo.get((island, text[at : m.end()], final and m.end() == n))
+                if not got or got[1] and m.end() < n:
+                    got = self._prefixes(island, text, at, n, final, outline, base)
+                more = more or got[1]
+                for e in got[0]:
+                    if at + e not in seen:
+                        seen.add(at + e)
+                        todo.append(at + e)
+            return more
+        while todo:
+            at = todo.pop()
+            c = text[at]
+            alts = self.choice.get((name, c)) or self.choices(name, c)
+            if skip and c == NL:
+                c = text[at + 1]
+                alts = [*alts, *(a for a in self.choices(name, c) if a not in alts)]
+            if c == MORE:
+                more = True
+            for alt in alts:
+                ends = [at]
+                for s in alt:
+                    if s == name:
+                        for p in ends:
+                            if p not in seen:
+                                seen.add(p)
+                                todo.append(p)
+                        break
+                    new = []
+                    for p in ends:
+                        c = text[p]
+                        if isinstance(s, str):
+                            if c != MORE and not (skip and c == NL) and not (self.choice.get((s, c)) or self.choices(s, c)):
+                                continue
+                            got = known.get((s, p))
+                            if got is None:
+                                if s in self.chains:
+                                    got = set()
+                                    open_ = self._walk(s, text, p, n, final, outline, base, got)
+                                else:
+                                    lengths, open_ = self._prefixes(s, text, p, n, final, outline, base)
+                                    got = [p + e for e in lengths]
+                                known[s, p] = got
+                                more = more or open_
+                            new.extend(got)
+                            continue
+                        if c not in s and skip and c == NL:
+                            p, c = p + 1, text[p + 1]
+                        if c in s:
+                            new.append(p + (c != END))
+                        elif c == MORE:
+                            more = True
+                    ends = new
+                    if not ends:
+                        break
+                else:
+                    out.update(p for p in ends if self.followed(name, text[p]))
+        return more
+
+    def _run(self, starts: tuple[str, ...], text: str, final: bool, outline: tuple | None = None, base: int = 0) -> tuple[list, bool]:
+        """(the ends of what each start symbol matches from the beginning, whether tokens behind the text matter). outline: of a
+        text that has this one at base."""
+        if self.blocks and outline is None:
+            outline = self._outline(text)
         n, todo, seen, graph, more = len(text), [], set(), {}, False
         text += END if final else MORE
-        islands, choices, skip = self.islands, self.choice, self.skip
+        islands, choices, skip, follow = self.islands, self.choice, self.skip, self.follow
+        chains = self.chains if islands else ()
 
         def resume(back, pos: int) -> None:
+            alt, dot, at = back
+            c = text[pos]
+            if c != MORE and not (skip and c == NL):
+                if dot == len(alt):
+                    if not follow.get((at[0], c), True):
+                        return
+                elif isinstance(s := alt[dot], str):
+                    if not choices.get((s, c), True):
+                        return
+                elif c not in s:
+                    return
             key = (*back, pos)
             if key not in seen:
                 seen.add(key)
-                alt, dot, at = back
                 todo.append((alt, dot, pos, graph[at]))
 
         def call(name: str, pos: int, back) -> bool:
@@ -219,9 +414,17 @@ class Grammar:
                         resume(back, end)
                 return False
             node = graph[name, pos] = ({back} if back else set(), set(), (name, pos))
+            if name in chains:
+                open_ = self._walk(name, text, pos, n, final, outline, base, node[1])
+                if back is not None:
+                    for end in list(node[1]):
+                        resume(back, end)
+                return open_
             if back is not None and name in islands:
-                ends, open_ = self._prefixes(name, text, pos, n, final)
+                ends, open_ = self._prefixes(name, text, pos, n, final, outline, base)
                 for end in ends:
+                    if not self.followed(name, text[pos + end]):
+                        continue
                     node[1].add(pos + end)
                     resume(back, pos + end)
                 return open_
@@ -267,7 +470,7 @@ class Grammar:
                     more = True
                 break
             else:
-                if pos not in node[1]:
+                if pos not in node[1] and (follow.get((key := (node[2][0], text[pos]))) or self.followed(*key)):
                     node[1].add(pos)
                     for back in list(node[0]):
                         resume(back, pos)

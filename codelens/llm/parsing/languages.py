@@ -31,6 +31,7 @@ LANGUAGES["c"] = {
     "keywords": "if else for while do switch case default return break continue goto typedef struct union enum sizeof static extern const volatile inline register unsigned signed restrict int char float double long short void auto bool _Generic".split(),
     "contextual": [],
     "operators": C_OPERATORS,
+    "names": rf"(?!(?:u8|[uUL])[\"'])(?:{NAME})",
     "lexer": rf"{BLOCK_COMMENT}|//(?:[^\n\\]|\\[\s\S])*|^[ \t]*#[ \t]*(?:include|define|undef|if|ifdef|ifndef|else|elif|elifdef|elifndef|endif|line|pragma|error|warning|embed)\b(?:[^\n\\]|\\[\s\S])*|(?:u8|[uUL])?{DQ}|[uUL]?{SQ}|{NAME}|{NUMBER}",
     "(": {"ARGS": "Args", "PARAMS": "Params", "NAMES": "Names", "FOR": "For", "TYPE": "TypeName", "GENERIC": "Generic", "COMPOUND": "Compound"},
     "[": {"INDEX": "Index", "ATTRIN": "Tree"},
@@ -101,6 +102,8 @@ LANGUAGES["java"] = {
     "keywords": f"if else for while do switch case default return break continue throw throws try catch finally class interface enum extends implements import package new instanceof static final public private protected abstract synchronized native transient volatile strictfp assert super this null {_JAVA_TYPES}".split(),
     "contextual": "record sealed permits non yield when module requires exports opens uses provides to with transitive open".split(),
     "operators": C_OPERATORS,
+    "names": NAME,
+    "blanks": r"\s",
     "lexer": rf'{BLOCK_COMMENT}|{LINE_COMMENT}|"""(?:[^\\]|\\[\s\S])*?"""|{DQ}|{SQ}|{NAME}|{NUMBER}',
     "(": {"ARGS": "Args", "PARAMS": "Params", "FOR": "For", "TYPE": "Type", "RES": "Resources", "CATCH": "CatchArg", "RECPAT": "RecPats", "ANN": "AnnArgs", "NAMES": "Names", "RECORD": "Params"},
     "[": {"INDEX": "E", "DIMS": "Nothing"},
@@ -202,6 +205,7 @@ LANGUAGES["csharp"] = {
     "keywords": f"if else for foreach while do switch case default return break continue throw try catch finally class interface enum struct namespace using new is as in out ref static readonly const public private protected internal abstract sealed virtual override extern unsafe lock base this typeof sizeof checked unchecked fixed stackalloc event delegate operator implicit explicit params goto null true false volatile {_CS_TYPES}".split(),
     "contextual": "record async await var yield get set init add remove value where when partial required file global scoped managed unmanaged with and or not from select let join on equals orderby ascending descending group by into nameof alias notnull dynamic field".split(),
     "operators": C_OPERATORS | {"??": "b", "??=": "a", "?.": "q", "..": "v"},
+    "names": NAME,
     "lexer": rf'{BLOCK_COMMENT}|{LINE_COMMENT}|^[ \t]*#[ \t]*(?:region|endregion|if|else|elif|endif|pragma|nullable|define|undef|warning|error|line)\b[^\n]*|\$*"""+[\s\S]*?"""+|(?:\$@|@\$)"(?:[^"{{]|""|{{{{|{{[^"{{}}]*(?:"[^"]*"[^"{{}}]*)*}})*"|@"(?:[^"]|"")*"|\$"(?:[^"\\\n{{]|\\.|{{{{|{{[^"{{}}\n]*(?:"(?:[^"\\\n]|\\.)*"[^"{{}}\n]*)*}})*"|{DQ}(?:u8)?|{SQ}|@?{NAME}|{NUMBER}',
     "(": {"ARGS": "Args", "PARAMS": "Params", "FOR": "For", "EACH": "Each", "TYPE": "Type", "TTUPLE": "TypeTuple", "DECL": "Decl", "CATCH": "CatchArg", "POSPAT": "PosPats", "NAMES": "Names", "DECON": "Decons"},
     "[": {"INDEX": "Args1", "RANK": "Commas", "ATTR": "Attrs", "LISTPAT": "ListPats", "COLL": "Coll", "PARAMSX": "Params"},
@@ -438,14 +442,17 @@ Enum1: Any | s | <KEY> | Any '=' E | s '=' E
 Mod: export '=' E Semi | export i i i Semi | export default i i Gen? IExt? <MEMBERS> | export default abstract ClassAnon | export default FnSig
 FnSig: async? function '*'? i? Gen? <PARAMS> Ret? Semi
 """
-_REGEX = r"(?:(?<=[=(,:;!&|?{}\[\n+>])|(?<=[=(,:;!&|?{}\[+>] )|(?<=return )|(?<=typeof )|(?<=case )|(?<=^))/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX = r"(?=/)(?:(?<=[=(,:;!&|?{}\[\n+>])|(?<=[=(,:;!&|?{}\[+>] )|(?<=return )|(?<=typeof )|(?<=case )|(?<=^))/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}`]*\})*\})*`"
-_JS_LEXER = rf"{BLOCK_COMMENT}|{LINE_COMMENT}|\A#![^\n]*|{_REGEX}|{DQ}|{SQ}|{_TEMPLATE}|[^\W\d]\w*(?:\$\w*)*|\$[\w$]*|{NUMBER}|\n"
+_JS_NAME = r"[^\W\d]\w*(?:\$\w*)*"
+_JS_LEXER = rf"{BLOCK_COMMENT}|{LINE_COMMENT}|\A#![^\n]*|{_REGEX}|{DQ}|{SQ}|{_TEMPLATE}|{_JS_NAME}|\$[\w$]*|{NUMBER}|\n"
 _ANY = "\nAny: i | " + " | ".join(_JS_RESERVED) + "\n"
 LANGUAGES["javascript"] = {
     "keywords": _JS_RESERVED,
     "contextual": _JS_CONTEXTUAL,
     "operators": JS_OPERATORS,
+    "names": _JS_NAME,
+    "blanks": r"[^\S\n]",
     "lexer": _JS_LEXER,
     "newlines": True,
     "(": {"ARGS": "ArgsS", "PARAMS": "Params", "FOR": "For"},
@@ -461,6 +468,8 @@ LANGUAGES["typescript"] = {
     "keywords": _JS_RESERVED,
     "contextual": [*_JS_CONTEXTUAL, *"public private protected readonly abstract override declare implements keyof unique infer is satisfies asserts namespace module global out".split()],
     "operators": JS_OPERATORS,
+    "names": _JS_NAME,
+    "blanks": r"[^\S\n]",
     "lexer": _JS_LEXER,
     "newlines": True,
     "(": {"ARGS": "ArgsS", "PARAMS": "Params", "FOR": "For", "TPAREN": "T"},
@@ -477,6 +486,8 @@ LANGUAGES["rust"] = {
     "keywords": "if else for while loop match return break continue fn pub struct enum trait impl use mod const static let mut ref as in where type unsafe async await dyn move extern crate self".split(),
     "contextual": "union auto default".split(),
     "operators": RUST_OPERATORS,
+    "names": rf"(?![bcr][r#\"'])(?:{NAME})",
+    "blanks": r"\s",
     "lexer": rf"{BLOCK_COMMENT}|{LINE_COMMENT}|[bc]?r\"[^\"]*\"|[bc]?r#\"[\s\S]*?\"#|[bc]?r##\"[\s\S]*?\"##|[bc]?r###\"[\s\S]*?\"###|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\[^\n]+?)'|'{NAME}(?!')|(?:r#)?{NAME}|(?:0[xbo][0-9a-fA-F_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d+)?)[a-z0-9_]*",
     "nested_comments": True,
     "(": {"ARGS": "Args", "PARAMS": "Params", "TREE": "Tree", "TYPES": "Types", "PATS": "Pats", "FIELDS": "TFields"},
@@ -569,6 +580,8 @@ LANGUAGES["go"] = {
     "keywords": "if else for switch select case default return break continue goto fallthrough defer go func package import type struct interface map chan var const range".split(),
     "contextual": [],
     "operators": GO_OPERATORS,
+    "names": NAME,
+    "blanks": r"[^\S\n]",
     "lexer": rf"{BLOCK_COMMENT}|{LINE_COMMENT}|`[^`]*`|{DQ}|'(?:[^'\\\n]|\\[^\n]+?)'|{NAME}|{NUMBER}|\n",
     "newlines": True,
     "(": {"ARGS": "Args", "PARAMS": "Params", "IMPORTS": "Imports", "VARS": "Vars", "CONSTS": "Consts", "TYPE": "T", "TYPES": "TypeSpecs", "SWITCHTYPE": "TypeWord"},
@@ -617,8 +630,7 @@ TypeSpecs: | ';' TypeSpecs | TypeS | TypeS ';' TypeSpecs
 TypeS: i T | i '=' T | i <TPARAMS> T | i <TPARAMS> '=' T
 TypeWord: type
 Simple: Es | Es '=' Es | Ids d Es | Es a Es | E p | E w E
-Block: | Part | Part Block
-Part: Stmt
+Block: | Stmt Block
 Stmt: ';' | Stmt1 ';' | Stmt1 eof | i ':' | i ':' eof
 Stmt1: Simple | var VarS | var <VARS> | const ConstS | const <CONSTS> | type TypeS | type <TYPES> | return Es? | break i? | continue i? | goto i | fallthrough | defer E | go E | <BLOCK> | If | For | Switch | select <COMMS> | i ':' Stmt1
 If: if Head <BLOCK> | if Head <BLOCK> else If | if Head <BLOCK> else <BLOCK>
@@ -669,6 +681,8 @@ LANGUAGES["python"] = {
     "keywords": "if elif else for while try except finally with def class return break continue pass raise import from as global nonlocal del assert yield lambda not and or in is async await None True False".split(),
     "contextual": "match case type".split(),
     "operators": PY_OPERATORS,
+    "names": rf"(?![rRbBuUfFtT]{{1,2}}[\"'])(?:{NAME})",
+    "blanks": r"[^\S\n]",
     "lexer": _PY_STRING + r"|#[^\n]*|\\\n|\n(?:[ \t\f]*(?:#[^\n]*)?\n)*[ \t\f]*" + rf"|{NAME}|(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*(?=[eE]))(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|(?:[1-9](?:_?\d)*|0(?:_?0)*)|\d(?:_?\d)*(?=[jJ]))[jJ]?(?![^\W_])",
     "(": {"ARGS": "Args", "PARAMS": "Params", "TUPLE": "Paren", "GEN": "GenExp", "IDS": "Names", "WITH": "Withs", "TGT": "ParenTgt", "SINGLE": "Single", "DEL": "ParenDel", "PAT": "ParenPat", "PATARGS": "PatArgs"},
     "[": {"LIST": "List", "INDEX": "Index", "TGT": "ListTgt", "DEL": "ParenDel", "PAT": "ListPat", "TPARAMS": "TParams"},
@@ -787,20 +801,24 @@ Field: Exprs | Yield | Named
 }
 
 _RUBY_RESERVED = "if elsif else unless while until for in do end def class module return break next redo retry yield begin rescue ensure case when then and or not self nil true false super alias undef defined".split()
+#: Behind these, `if` and the like are modifiers, which open no block.
+_RB_OPERAND = r"insC\U000f1000-\U000fffff@end@self@nil@true@false@super@return@break@next@redo@retry@yield"
 _INTERP = r"(?:[^{q}\\#]|\\[\s\S]|#(?!\{{)|#\{{(?:[^{{}}{q}]|\"(?:[^\"\\{{}}]|\\.)*\"|\{{[^{{}}]*\}})*\}})*"
 _RB_DQ, _RB_BT = '"' + _INTERP.format(q='"') + '"', "`" + _INTERP.format(q="`") + "`"
 LANGUAGES["ruby"] = {
     "keywords": _RUBY_RESERVED,
     "contextual": [],
     "operators": RUBY_OPERATORS,
-    "lexer": r"^=begin\b[\s\S]*?^=end\b[^\n]*|^__END__\n[\s\S]*|<<[~-]?(['\"`]?)([A-Za-z_]\w*)\1[^\n]*\n(?:[\s\S]*?\n)??[ \t]*\2\b(?=\s|\Z)|#[^\n]*|" + _RB_DQ + r"|'(?:[^'\\]|\\[\s\S])*'|" + _RB_BT + r"|%[wWiIqQrx]?(?:\((?:[^()]|\([^()]*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]|\{[^{}]*\})*\}|<[^>]*>|\|[^|]*\||![^!]*!)[a-z]*|(?:(?<=[=(,~&|\[{!;])|(?<=[=(,~&|\[{!;?:] )|(?<=\bif )|(?<=\bwhen )|(?<=\bunless )|(?<=\band )|(?<=\bor )|(?<=\breturn )|(?<=\n)|(?<=match\())[ \t]*/(?![ =])(?:[^/\\\n]|\\.)+/[a-z]*|(?<=\w )/(?! )(?:[^/\\\n]|\\.)+/[a-z]*|(?<![\w:)\]]):(?:[A-Za-z_]\w*[?!=]?(?![=~>])|[A-Za-z_]\w*[?!]?|" + _RB_DQ + r"|'(?:[^'\\]|\\.)*'|\[\]=?|[+\-*/%<>=~!^&|]{1,3}@?)|(?:@@?|\$)?[^\W\d]\w*[?!]?(?!=[^=~>])|[^\W\d]\w*|\$[\d!@&~;,./<>_*$?:\"]|\?[^\s\w](?!\w)|\?[A-Za-z](?!\w)|" + rf"{NUMBER}r?i?|\n|\\\n",
+    "names": r"(?!__END__)[^\W\d]\w*[?!]?(?!=[^=~>])",
+    "lexer": r"^=begin\b[\s\S]*?^=end\b[^\n]*|^__END__\n[\s\S]*|<<[~-]?(['\"`]?)([A-Za-z_]\w*)\1[^\n]*\n(?:[\s\S]*?\n)??[ \t]*\2\b(?=\s|\Z)|#[^\n]*|" + _RB_DQ + r"|'(?:[^'\\]|\\[\s\S])*'|" + _RB_BT + r"|%[wWiIqQrx]?(?:\((?:[^()]|\([^()]*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]|\{[^{}]*\})*\}|<[^>]*>|\|[^|]*\||![^!]*!)[a-z]*|(?=[ \t]*/)(?:(?<=[=(,~&|\[{!;])|(?<=[=(,~&|\[{!;?:] )|(?<=\bif )|(?<=\bwhen )|(?<=\bunless )|(?<=\band )|(?<=\bor )|(?<=\breturn )|(?<=\n)|(?<=match\())[ \t]*/(?![ =])(?:[^/\\\n]|\\.)+/[a-z]*|(?=/)(?<=\w )/(?! )(?:[^/\\\n]|\\.)+/[a-z]*|(?<![\w:)\]]):(?:[A-Za-z_]\w*[?!=]?(?![=~>])|[A-Za-z_]\w*[?!]?|" + _RB_DQ + r"|'(?:[^'\\]|\\.)*'|\[\]=?|[+\-*/%<>=~!^&|]{1,3}@?)|(?:@@?|\$)?[^\W\d]\w*[?!]?(?!=[^=~>])|[^\W\d]\w*|\$[\d!@&~;,./<>_*$?:\"]|\?[^\s\w](?!\w)|\?[A-Za-z](?!\w)|" + rf"{NUMBER}r?i?|\n|\\\n",
     "newlines": True,
     "(": {"ARGS": "Args", "PARAMS": "Params", "STMTS": "Stmts", "PAT": "Pats", "MLHS": "Mlhs"},
     "[": {"INDEX": "Args", "PAT": "Pats"},
     "{": {"HASH": "Hash", "BLOCK": "BraceBlock", "PAT": "HPats"},
     "starts": ("File",),
     "islands": ("Stmt",),
-    "stops": ";\n" + BRACES,
+    "stops": ";\n",
+    "blocks": r"((?<![.qc@def])(?:@class|@module|@case|@begin|@do|@for[^\n;@do]*@do?|@def(?!(?:[i@self]\.)?i(?:=[^\U000f1000-\U000fffff]|[\U000f1000-\U000fffff]=)))(?!:)|(?<![.qc" + _RB_OPERAND + r"@def])(?<![.qc][\s\S])(?:@if|@unless|(?:@while|@until)[^\n;@do]*@do?)(?!:))|((?<![.qc@def])@end(?!:))|[;\n]",
     "grammar": """
 T: nl | ';'
 Ts: | T Ts
@@ -893,6 +911,7 @@ LANGUAGES["bash"] = {
     "starts": ("File",),
     "islands": ("AndOr",),
     "stops": ";\n",
+    "blocks": r"((?<![isgdh])(?:@if|@case|@do)|\{)|((?<![isgdh])(?:@fi|@esac|@done|\}))|[;\n]",
     "grammar": """
 Word: i | s | Key
 Key: if | then | elif | else | fi | for | while | until | do | done | case | esac | in | function | select | time | coproc | '{}!'
