@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 RANGES = 128
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], nulls: bool = True) -> DataFrame:
     """`df` with, for each name of `sums`, the sum of its column over all rows of the same keys up to and including this one in
     the given order, which must be total within the keys, and with `<name>_all`, the sum over all rows of the keys.
 
     No group is gathered in one task, however large: the order is cut into ranges at the values with the least hashes (a uniform
     sample that is the same however often the plan is run), sums of ranges are combined on the map side, and rows are sorted
-    within (keys, range) only. A group has at most RANGES + 1 sums, so the window over them is bounded. Null keys are a group.
+    within (keys, range) only. A group has at most RANGES + 1 sums, so the window over them is bounded. Null keys are a group;
+    without `nulls` there are none, and rows stay where they were sorted.
     """
     at = F.struct(*order)
     few = df.select(at.alias("__at")).orderBy(F.xxhash64(*[F.col(f"__at.{c}") for c in order]), "__at").limit(RANGES)
@@ -31,7 +32,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     y = x.select("*", *[F.sum(f"__{n}").over(local).alias(n) for n in sums])
     on = F.col("__range") == F.col("__at_range")
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+        same = F.col(k).eqNullSafe if nulls else F.col(k).__eq__
+        on = on & same(F.col(f"__key_{k}"))
     j = y.join(t if keys else F.broadcast(t), on)
     return j.select(*df.columns, *[(F.col(n) + F.col(f"__before_{n}")).alias(n) for n in sums], *[f"{n}_all" for n in sums])
 

@@ -146,28 +146,64 @@ def entropy(changes: DataFrame) -> DataFrame:
     return c.join(t, "sha").groupBy("sha").agg(F.sum(-p * F.log2(p)).alias("entropy"))
 
 
+#: A path of more authors is hot: no commit lists its earlier authors. Costs depend on it, never the result.
+HOT = 500
+#: Commits, and authors, of one group in Python at most, about.
+GROUP, CHUNK = 20_000, 65_536
+
+
 def prior_state(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """WIN-2 to WIN-5: author experience, earlier touches and earlier authors of the touched files, in order of (ts, sha).
 
-    Running counts (`stats.running`, so neither a busy path nor a busy author is one task's work) give earlier touches and earlier
-    authors of each path. A commit of one path needs no more. Of several, the path with most earlier authors counts as it is; only
-    authors of the commit's other paths are enumerated and those the first path has seen already left out: a hot path is never
-    joined with its own touches.
+    Commits and authors get numbers. Running counts (`stats.running`, so neither a busy path nor a busy author is one task's work) give
+    earlier touches and earlier authors of each path; a commit of one path needs no more. Of several, each path of at most HOT
+    authors adds the list of its earlier ones. Commits of the same hot paths share one list of the first times of those paths'
+    authors: the hot paths' earlier authors are counted in it, and of the commit's listed authors those that aren't among them.
     """
-    order = ["ts", "sha"]
-    exp = stats.running(commits.select("sha", "author", "ts"), ["author"], order, {"experience": F.lit(1)}).select("sha", (F.col("experience") - 1).alias("experience"))
-    t = changes.select("sha", "path").distinct().join(commits.select("sha", "author", "ts"), "sha")
-    first = t.groupBy("path", "author").agg(F.min(F.struct(*order)).alias("first"))
-    fresh = first.select("path", "first.sha", F.lit(1).alias("fresh"))
-    t = t.join(fresh, ["path", "sha"], "left").fillna(0, ["fresh"])
-    t = cut(stats.running(t, ["path"], order, {"touches": F.lit(1), "authors": F.col("fresh")}).withColumn("authors", F.col("authors") - F.col("fresh")))
-    main = t.groupBy("sha").agg(F.sum(F.col("touches") - 1).alias("unique_changes"), F.max(F.struct("authors", "path")).alias("most"))
-    rest = t.join(main.select("sha", F.col("most.path").alias("main")), "sha").where("path <> main and authors > 0").select("sha", "path", "main", F.struct(*order).alias("seq"))
-    more = rest.join(first, "path").where(F.col("first") < F.col("seq")).select("sha", "main", "seq", "author").distinct()
-    seen = first.select(F.col("path").alias("main"), "author", F.col("first").alias("seen"))
-    more = more.join(seen, ["main", "author"], "left").where(F.col("seen").isNull() | (F.col("seen") >= F.col("seq"))).groupBy("sha").agg(F.count("*").alias("more"))
-    own = main.join(more, "sha", "left").select("sha", "unique_changes", (F.col("most.authors") + F.coalesce("more", F.lit(0))).alias("num_developers"))
-    return exp.join(own, "sha", "left").fillna(0, ["unique_changes", "num_developers"])
+    c = commits.select("sha", "author", "ts").orderBy("ts", "sha").select("sha", "author", F.monotonically_increasing_id().alias("no"))
+    who = stats.running(commits.select(F.col("author").alias("name")).distinct(), [], ["name"], {"who": F.lit(1)}).select("name", F.col("who").cast("int").alias("who"))
+    c = cut(c.join(who, F.col("author").eqNullSafe(F.col("name"))).select("sha", "no", "who"))
+    exp = stats.running(c, ["who"], ["no"], {"experience": F.lit(1)}, nulls=False).select("sha", "no", (F.col("experience") - 1).alias("experience"))
+    t = changes.select("sha", "path").distinct().join(c, "sha").select("path", "no", "who")
+    paths = stats.running(t.select("path").distinct(), [], ["path"], {"p": F.lit(1)}).select("path", "p")
+    t = t.join(paths, "path").select("p", "no", "who").withColumn("fresh", F.when(F.row_number().over(Window.partitionBy("p", "who").orderBy("no")) == 1, 1).otherwise(0))
+    first = t.where("fresh = 1").select("p", "who", F.col("no").alias("first"))
+    t = stats.running(t.select("p", "no", "fresh"), ["p"], ["no"], {"touches": F.lit(1), "authors": F.col("fresh")}, nulls=False)
+    first = first.join(first.groupBy("p").agg(F.count("*").alias("n")), "p")
+    listed = first.where(F.col("n") <= HOT).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("first", "who"))).alias("x")).select("p", F.col("x.who").alias("listed"))
+    before = F.col("authors") - F.col("fresh")
+    t = t.join(listed, "p", "left").select("no", "touches", before.alias("before"), F.when(before > 0, F.slice("listed", F.lit(1), before.cast("int"))).alias("listed"), F.when((before > 0) & F.col("listed").isNull(), F.col("p")).alias("hot"))
+    by = t.groupBy("no").agg(F.sum(F.col("touches") - 1).alias("unique_changes"), F.max("before").alias("most"), F.count_if(F.col("before") > 0).alias("paths"), F.collect_list("listed").alias("listed"), F.collect_list("hot").alias("hot"))
+    one = F.col("paths") <= 1
+    by = cut(by.select("no", "unique_changes", F.when(one, F.col("most")).when(F.size("hot") == 0, F.size(F.array_distinct(F.flatten("listed")))).alias("n"), F.when(~one & (F.size("hot") > 0), F.array_sort("hot")).alias("hot"), F.when(~one & (F.size("hot") > 0), F.array_distinct(F.flatten("listed"))).alias("listed")))
+    many = by.where("hot is not null").select("no", "hot", "listed")
+    sets = many.groupBy("hot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    many = many.join(sets, "hot").select("hot", F.pmod(F.hash("no"), "parts").alias("part"), "no", "listed")
+    firsts = first.where(F.col("n") > HOT).groupBy("p", F.floor(F.col("who") / CHUNK)).agg(F.collect_list("who").alias("who"), F.collect_list("first").alias("first"))
+    firsts = sets.select("hot", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.explode("hot").alias("p")).join(firsts.select("p", "who", "first"), "p").select(F.col("hot").alias("set"), F.col("part").alias("set_part"), "who", "first")
+    more = many.groupBy("hot", "part").cogroup(firsts.groupBy("set", "set_part")).applyInArrow(_earlier_authors, "no bigint, more bigint")
+    own = by.select("no", "unique_changes", "n").join(more, "no", "left").select("no", "unique_changes", F.coalesce("n", "more").alias("num_developers"))
+    return exp.join(own, "no", "left").select("sha", "experience", "unique_changes", "num_developers").fillna(0, ["unique_changes", "num_developers"])
+
+
+def _earlier_authors(commits, firsts):
+    """(no, more): of commits of the same hot paths, given the first times of each author in each of these, the distinct earlier
+    authors in them and in the commit's own list."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = lambda table, name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    who, first = flat(firsts, "who"), flat(firsts, "first")
+    order = np.lexsort((first, who))
+    who, first = who[order], first[order]
+    least = np.concatenate(([True], who[1:] != who[:-1]))
+    who, first = who[least], first[least]
+    no = commits.column("no").to_numpy()
+    listed, size = flat(commits, "listed"), commits.column("listed").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(no)), size)
+    at = np.minimum(np.searchsorted(who, listed), len(who) - 1)
+    new = (who[at] != listed) | (first[at] >= no[row])
+    return pa.table({"no": no, "more": np.searchsorted(np.sort(first), no) + np.bincount(row[new], minlength=len(no))})
 
 
 def commit_features(commits: DataFrame, changes: DataFrame, files: DataFrame, owned: DataFrame) -> DataFrame:

@@ -132,3 +132,27 @@ def test_defect_inputs_keep_measured_complexity(spark):
     known = spark.createDataFrame([(3, 7)], "path int, complexity int")
     got = quality.defect_inputs(files, one("churn double, contributors int"), known, one("duplication double"), one("coupling int"))
     assert {(r.path, r.estimated, r.complexity) for r in got.collect()} == {(1, True, 3.0), (2, True, 50.0), (3, False, 7.0)}
+
+
+def test_prior_state_of_hot_paths(spark, monkeypatch):
+    """Commits of one, several and no hot paths; authors without a name count as one; groups are cut into parts."""
+    from codelens.operators import history as h
+
+    rng, commits, changes = random.Random(5), [], []
+    for i in range(600):
+        commits.append((f"s{i * 7919 % 600:03}", rng.choice((None, f"a{rng.randint(0, 90)}", f"a{rng.randint(0, 9)}")), i // 3))
+        paths = {p for p, often in (("x", 0.6), ("y", 0.4), ("z", 0.2)) if rng.random() < often} | {f"p{rng.randint(0, 40)}" for _ in range(rng.randint(0, 4))}
+        changes += [(commits[-1][0], p) for p in paths for _ in range(rng.randint(1, 2))]
+    order, seen, want = sorted(commits, key=lambda c: (c[2], c[0])), defaultdict(list), {}
+    for k, (sha, author, _) in enumerate(order):
+        own = {p for s, p in changes if s == sha}
+        want[sha] = (sum(c[1] == author for c in order[:k]), sum(len(seen[p]) for p in own), len({a for p in own for a in seen[p]}))
+        for p in own:
+            seen[p].append(author)
+    assert max(len({*v}) for v in seen.values()) > 60
+    c, f = spark.createDataFrame(commits, "sha string, author string, ts int"), spark.createDataFrame(changes, "sha string, path string")
+    for hot, group in ((500, 20_000), (20, 20), (0, 7)):
+        monkeypatch.setattr(h, "HOT", hot)
+        monkeypatch.setattr(h, "GROUP", group)
+        assert {r[0]: tuple(r)[1:] for r in h.prior_state(c, f).collect()} == want
+    assert "FlatMapCoGroupsInArrow" in h.prior_state(c, f)._jdf.queryExecution().analyzed().toString()  # no join of a hot path's touches and authors
