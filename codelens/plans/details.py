@@ -129,7 +129,7 @@ def fil_5_gate(s, d):
 
 def fil_9_score_filters(s, d):
     """FIL-9: hits of at least a score whose complexity is small or unknown."""
-    return text._hits(s, d).where("score >= 0.3 and (complexity is null or complexity <= 4)").select("query", "doc", "score")
+    return text._hits(s, d, least=0.3).where("score >= 0.3 and (complexity is null or complexity <= 4)").select("query", "doc", "score")
 
 
 def srt_1_by_metric(s, d):

@@ -13,8 +13,8 @@ FLAG = {"log": r"""log\.(?:Print|info)\("(\w+)"""}
 
 
 def _symbols(s, d):
-    """Each row once, by id."""
-    return t.table(s, d, "symbols").select("id", "file_path", "symbol_name", "enriched_text", "cyclomatic_complexity").distinct()
+    """Each row once, by id: rows of one id are in one partition."""
+    return t.table(s, d, "symbols").select("id", "file_path", "symbol_name", "enriched_text", "cyclomatic_complexity").repartition("id").distinct()
 
 
 def _lines(s, d):
@@ -96,26 +96,32 @@ def agg_40_weights(s, d):
     return w.groupBy("doc").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 5).alias("sum_w"), F.round(F.max("w"), 5).alias("max_w"))
 
 
-def _hits(s, d):
+def _search(s, d, which=None, only=None):
     sy = _symbols(s, d)
-    w, idf = _index(s, d)
-    q = sy.where("id % 50 = 0").select("id", F.concat_ws(" ", "symbol_name", F.regexp_replace("file_path", "[/._-]", " ")).alias("q"))
-    hits = x.search(w, idf, q, "id", "q")
-    return hits.join(sy.select(F.col("id").alias("doc"), F.col("file_path").alias("file"), F.col("symbol_name").alias("symbol"), F.col("cyclomatic_complexity").alias("complexity")), "doc")
+    q = sy.where(which or "true").select("id", F.concat_ws(" ", "symbol_name", F.regexp_replace("file_path", "[/._-]", " ")).alias("q"))
+    return x.search(sy, "id", "enriched_text", q, "q", only)
+
+
+def _hits(s, d, k=None, least=0.0, only=None):
+    """Hits of the queries of every symbol whose id is divisible by 50, with the symbols' columns."""
+    sy = _symbols(s, d).select(F.col("id").alias("key"), F.col("file_path").alias("file"), F.col("symbol_name").alias("symbol"), F.col("cyclomatic_complexity").alias("complexity"))
+    return x.hits(_search(s, d, "id % 50 = 0", only), k, least).join(sy, F.col("doc").eqNullSafe(F.col("key"))).drop("key")  # else the table is shuffled again, without null ids
 
 
 def joi_20_search_scores(s, d):
-    return _hits(s, d).groupBy("query").agg(F.count("*").alias("docs"), F.round(F.sum(F.col("score").cast("decimal(18,6)")), 4).cast("double").alias("total"), F.max("score").alias("best"))
+    """JOI-20: every symbol asks for all that share a term with it."""
+    t = x.totals(_search(s, d))
+    return t.select("query", "docs", (F.expr("(millionths + 50) div 100") / 1e4).alias("total"), "best")
 
 
 def srt_7_search(s, d):
     """SRT-7, WIN-9, FIL-9: every symbol whose id is divisible by 50 asks for the ten best symbols."""
-    return x.best_chunks(_hits(s, d), 10, 0.05, 8).select("query", "rank", "doc", "score")
+    return x.best_chunks(_hits(s, d, 30), 10, 0.05, 8).select("query", "rank", "doc", "score")
 
 
 def fil_10_search_in_files(s, d):
     """FIL-10: the search restricted to files; frequencies still come from all."""
-    h = _hits(s, d).where(F.col("file").endswith(".go"))
+    h = _hits(s, d, 15, only=F.col("file_path").endswith(".go")).where(F.col("file").endswith(".go"))
     return x.best_chunks(h, 5).select("query", "rank", "doc", "score")
 
 
@@ -171,7 +177,7 @@ SQL = {
     "txt_23_names_and_paths": r"select distinct symbol_name, file_path, lower(regexp_replace(regexp_replace(symbol_name, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) as snake, array_to_string(string_split(file_path, '/')[:-3], '/') || case when len(string_split(file_path, '/')) > 2 then '/' else '' end || 'x' as path, true as outside from symbols",
     "agg_39_vocabulary": _IDX + "select term, df, round(idf, 6) as idf from idf",
     "agg_40_weights": _IDX + "select doc, count(*) as terms, round(sum(w), 5) as sum_w, round(max(w), 5) as max_w from ww group by doc",
-    "joi_20_search_scores": _SEARCH + "select query, count(*) as docs, round(sum(score::decimal(18, 6)), 4)::double as total, max(score) as best from ht group by query",
+    "joi_20_search_scores": _SEARCH.replace(" from sy where id % 50 = 0)", " from sy)") + "select query, count(*) as docs, round(sum(score::decimal(18, 6)), 4)::double as total, max(score) as best from ht group by query",
     "srt_7_search": _SEARCH + _BEST.format(src="ht", k3=30, k=10, cond="score >= 0.05 and (complexity is null or complexity <= 8)"),
     "fil_10_search_in_files": _SEARCH + _BEST.format(src="(select * from ht where file like '%.go')", k3=15, k=5, cond="score >= 0"),
     "srt_8_suggestions": "select distinct symbol_name from symbols where contains(lower(symbol_name), 'load') or contains('load', lower(symbol_name)) order by symbol_name limit 10",

@@ -156,3 +156,23 @@ def test_prior_state_of_hot_paths(spark, monkeypatch):
         monkeypatch.setattr(h, "GROUP", group)
         assert {r[0]: tuple(r)[1:] for r in h.prior_state(c, f).collect()} == want
     assert "FlatMapCoGroupsInArrow" in h.prior_state(c, f)._jdf.queryExecution().analyzed().toString()  # no join of a hot path's touches and authors
+
+
+def test_search_of_all_symbols(spark, tmp_path, monkeypatch):
+    """Every symbol asks, repeated ids and equal questions included, whatever the blocks; no pair of query and document is shuffled."""
+    from codelens.operators import text
+    from tests.parity import connect
+
+    rng, words = random.Random(7), ["load", "store", "run", "x1", "Ünit", "go"]
+    names = [(i % 90, f"{rng.choice(words)}/{rng.choice(words)}.{rng.choice(('go', 'py'))}", rng.choice(words), " ".join(rng.choices(words + [f"w{i}"], k=rng.randint(0, 9))) or None, rng.randint(1, 9)) for i in range(130)]
+    spark.createDataFrame(names, "id bigint, file_path string, symbol_name string, enriched_text string, cyclomatic_complexity int").coalesce(1).write.parquet(f"{tmp_path}/symbols.parquet")
+    con = connect()
+    con.execute(f"create or replace view symbols as select * from '{tmp_path}/symbols.parquet/*.parquet'")
+    for block in (25_000, 13):
+        monkeypatch.setattr(text, "BLOCK", block)
+        for name in ("joi_20_search_scores", "srt_7_search", "fil_10_search_in_files", "fil_9_score_filters"):
+            df = Q[name](spark, str(tmp_path))
+            want = con.execute(f"select {', '.join(df.columns)} from ({registry.oracle_sql()[name]})").fetchall()
+            assert sorted(map(tuple, df.collect())) == sorted(want), name
+            assert name != "joi_20_search_scores" or len(want) == 90
+            assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().analyzed().toString()
